@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP7_SQL, op7_line_dedup
+from .minhash import OP2_SQL, op2_minhash_dedup
 from .packing import op5_best_fit_packing
 from .token_file import op3_token_files
+from .topk import OP6_SQL, op6_exact_top_k
 
 QUERIES = {
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_token_files": op3_token_files,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_exact_top_k": op6_exact_top_k,
+    "op7_line_dedup": op7_line_dedup,
 }
 
 #: DuckDB SQL where SQL can express the operator.
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_minhash_dedup": OP2_SQL,
+    "op6_exact_top_k": OP6_SQL,
+    "op7_line_dedup": OP7_SQL,
+}
