@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .html_text import op9_html_extraction
+from .language import op10_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .minhash import OP2_SQL, op2_minhash_dedup
 from .packing import op5_best_fit_packing
@@ -14,6 +16,8 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_line_dedup": op7_line_dedup,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_language_id": op10_language_id,
 }
 
 #: DuckDB SQL where SQL can express the operator.
