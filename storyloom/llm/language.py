@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks_of, crc_of, table
+from .ngrams import hashed_features
 
 FEATURES = 1 << 16
 #: Labelled documents that are learned from, at most, for each language.
@@ -37,38 +38,9 @@ UNKNOWN = "und"
 HELD_OUT = (4, 2)
 
 
-def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
-    h = (h ^ np.uint64(kind * 0x51ED2701)) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    return ((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)).astype(np.int64) % FEATURES
-
-
 def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hashed features of words and how many each has: itself, affixes of 1 to 4 characters and n-grams of 1 to 3."""
-    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    owner = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(codes)) - starts[owner]
-    with np.errstate(over="ignore"):
-        grams, h = {}, np.zeros(len(codes) + 5, np.uint64)
-        padded = np.concatenate([codes, np.zeros(5, np.uint64)])
-        for n in range(1, 6):
-            h[: len(codes)] = h[: len(codes)] * np.uint64(0x100000001B3) + padded[n - 1 : n - 1 + len(codes)] + np.uint64(1)
-            grams[n] = h[: len(codes)].copy()
-        power = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
-        of, ids = [np.arange(len(words))], [_mixed(np.add.reduceat(codes * power[place], starts), 1)]
-        for n in (1, 2, 3):
-            at = np.flatnonzero(place + n <= sizes[owner])
-            of.append(owner[at])
-            ids.append(_mixed(grams[n][at], 10 + n))
-        for n in (2, 3, 4, 5):
-            at = np.flatnonzero(sizes >= n)
-            of += [at, at]
-            ids += [_mixed(grams[n][starts[at]], 20 + n), _mixed(grams[n][ends[at] - n], 30 + n)]
-    of, ids = np.concatenate(of), np.concatenate(ids)
-    return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
+    return hashed_features(words, FEATURES, grams=(1, 2, 3), affixes=(2, 3, 4, 5))
 
 
 def words_of(text: str) -> list[str]:
@@ -305,7 +277,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     is UNKNOWN with score 0. Repeated rows are predicted each. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = str(id(shared)) + str(shared._path if hasattr(shared, "_path") else "")
+    key = str(hash((tuple(model.languages), float(model.weights.sum()), float(model.transitions.sum()))))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tagger_of(key)

@@ -9,8 +9,10 @@ from .minhash import OP2_SQL, op2_minhash_dedup
 from .packing import op5_best_fit_packing
 from .token_file import op3_token_files
 from .topk import OP6_SQL, op6_exact_top_k
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_token_files": op3_token_files,
     "op5_best_fit_packing": op5_best_fit_packing,
