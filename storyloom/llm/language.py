@@ -292,6 +292,29 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
+def in_a_language(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` that have a language, all columns as they are; rows aren't moved.
+
+    Rejected are texts that are UNKNOWN (null, or without a letter) or whose score is below ``least``.
+    Nothing is rejected when no labelled row could be learned from.
+    """
+    if not model.languages:
+        return docs
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    key = str(hash((tuple(model.languages), float(model.weights.sum()), float(model.transitions.sum()))))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tagger_of(key)
+        if not held:
+            held.append(Tagger(shared.value))
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            found = [p for a, b in chunks_of(texts, 3_000_000) for p in held[0].predict(texts[a:b])]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_of(doc_id) % HELD_OUT[0] == HELD_OUT[1], F.lit(False))
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,28 +162,36 @@ RESULT = "doc_id long, text string, n_lines long, n_dropped long, kept_sha256 st
 NO_ID = int(np.iinfo(np.int64).min)
 
 
-def _rebuilt(doc_ids: pd.Series, texts: list[str], drops: list[set[int]]) -> pd.DataFrame:
-    kept = []
+def _rebuilt(batch: pa.RecordBatch, drops: list[set[int]]) -> pa.RecordBatch:
+    """The result's rows for a batch of documents; a column ``rest`` goes with them as it is."""
+    texts, kept = batch.column("text").to_pylist(), []
     for text, drop in zip(texts, drops, strict=True):
         kept.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop) if drop else text)
-    return pd.DataFrame({"doc_id": doc_ids, "text": kept, "n_lines": [t.count("\n") + 1 for t in texts], "n_dropped": [len(d) for d in drops], "kept_sha256": [hashlib.sha256(k.encode()).hexdigest() for k in kept]})
+    columns = [batch.column("doc_id"), pa.array(kept, pa.string()), pa.array([t.count("\n") + 1 for t in texts], pa.int64()), pa.array([len(d) for d in drops], pa.int64()), pa.array([hashlib.sha256(k.encode("utf-8", "surrogatepass")).hexdigest() for k in kept], pa.string())]
+    names = ["doc_id", "text", "n_lines", "n_dropped", "kept_sha256"]
+    if "rest" in batch.schema.names:
+        columns.append(batch.column("rest"))
+        names.append("rest")
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, rest: list[str] | None = None) -> DataFrame:
     """Documents without repeated lines but in the last document that holds each.
 
     Returns one row per row of ``docs``: doc_id, text (kept lines), n_lines (before dropping),
     n_dropped, kept_sha256. A null text is one empty line. A row without a doc_id doesn't count
     as a document and loses all repeated lines. Rows with one doc_id are one document when
     counted; all of them keep the lines of which they are the last. An empty table gives no rows.
+    Columns named in ``rest`` go with their rows as the struct ``rest``.
     """
     index = written(build_index(written(repeated_lines(docs, min_chars, min_docs), "lines")), "line-index")
     size = index.select(F.sum(sum((F.octet_length(c) for c in ("seeds", "slots", "prints", "counts", "last_docs")), F.lit(0))).alias("b"), F.max("n_shards").alias("n_shards")).first()
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     key = F.transform(lines, line_key)
     long_enough = F.filter(F.transform(key, lambda k, i: F.struct(i.alias("i"), F.when(F.char_length(k) >= min_chars, k).alias("k"))), lambda s: s["k"].isNotNull())
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), long_enough.alias("keys"))
-    rows = rows.select("doc_id", "text", F.transform("keys", lambda s: s["i"]).alias("at"), F.transform("keys", lambda s: key_hash(s["k"])).alias("hashes"), F.transform("keys", lambda s: key_print(s["k"])).alias("prints"))
+    more = [F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")] if rest else []
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), long_enough.alias("keys"), *more)
+    rows = rows.select("doc_id", "text", *(["rest"] if rest else []), F.transform("keys", lambda s: s["i"]).alias("at"), F.transform("keys", lambda s: key_hash(s["k"])).alias("hashes"), F.transform("keys", lambda s: key_print(s["k"])).alias("prints"))
     n_shards = size["n_shards"] or 1
     out = _by_broadcast(rows, index, n_shards) if (size["b"] or 0) <= broadcast_bytes else _by_shards(rows, index, n_shards)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
@@ -192,17 +201,20 @@ def _by_broadcast(rows: DataFrame, index: DataFrame, n_shards: int) -> DataFrame
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast([r.asDict() for r in index.toLocalIterator()])
 
-    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = {int(r["shard"]): Shard(r) for r in shared.value}
         for batch in batches:
-            counts = batch["at"].map(len).to_numpy(np.int64)
-            flat = [np.concatenate([np.zeros(0, np.int64), *batch[c]]).astype(np.int64) for c in ("at", "hashes", "prints")]
-            gone = _drops(flat[1], flat[2], np.repeat(batch["doc_id"].to_numpy(), counts), shards, n_shards)
+            counts = batch.column("at").value_lengths().to_numpy()
+            at, hashes, prints = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("at", "hashes", "prints"))
+            gone = _drops(hashes, prints, np.repeat(batch.column("doc_id").to_numpy(), counts), shards, n_shards)
             ends = np.cumsum(counts)
-            drops = [set(flat[0][a:b][gone[a:b]].tolist()) for a, b in zip(ends - counts, ends, strict=True)]
-            yield _rebuilt(batch["doc_id"], batch["text"].tolist(), drops)
+            yield _rebuilt(batch, [set(at[a:b][gone[a:b]].tolist()) for a, b in zip(ends - counts, ends, strict=True)])
 
-    return rows.mapInPandas(drop, RESULT)
+    return rows.mapInArrow(drop, _schema(rows))
+
+
+def _schema(rows: DataFrame) -> str:
+    return RESULT + (f", rest {rows.schema['rest'].dataType.simpleString()}" if "rest" in rows.columns else "")
 
 
 def _by_shards(rows: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
@@ -220,13 +232,13 @@ def _by_shards(rows: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
 
     gone = probes.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInPandas(probe, "row long, at long")
     gone = gone.groupBy("row").agg(F.collect_list("at").alias("gone"))
-    both = rows.select("row", "doc_id", "text").join(gone, "row", "left").select("doc_id", "text", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))
+    both = rows.drop("at", "hashes", "prints").join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>"))).drop("row")
 
-    def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _rebuilt(batch["doc_id"], batch["text"].tolist(), [set(map(int, g)) for g in batch["gone"]])
+            yield _rebuilt(batch, [set(g) for g in batch.column("gone").to_pylist()])
 
-    return both.mapInPandas(rebuild, RESULT)
+    return both.mapInArrow(rebuild, _schema(both))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_benchmark_leaks
 from .html_text import op9_html_extraction
 from .language import op10_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .minhash import OP2_SQL, op2_minhash_dedup
 from .packing import op5_best_fit_packing
+from .substrings import op4_repeated_passages
 from .token_file import op3_token_files
 from .topk import OP6_SQL, op6_exact_top_k
 from .toxicity import op1_toxicity
@@ -15,9 +17,11 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_token_files": op3_token_files,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_line_dedup": op7_line_dedup,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
 }
