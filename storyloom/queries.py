@@ -1,10 +1,8 @@
-"""The registered queries of the engine and their SQL."""
+"""All queries of the engine and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import normalize, quality  # noqa: F401
+from .plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
