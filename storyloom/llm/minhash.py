@@ -11,10 +11,14 @@ sets of similarity 0.8 agree in 38 of 48 coordinates on average; in fewer than
   COORDINATES - MATCHES + 1 rarest of each. Only these prefixes make pairs; the long
   postings are skipped and only counted for pairs that the prefixes made.
 
-Within a posting no node meets all others. First each meets the posting's smallest node; pairs
-that match often enough are confirmed on the full sets, and linked nodes become components.
-Postings whose nodes are all in one component are done. In the others each node meets the largest
-node, and at last, in what is left, nodes of different components meet one another.
+Within a posting no node meets all others. First each meets the posting's most typical node, the one
+whose values most nodes share: what copies were made from is near all of them, though they may not be
+near one another. Pairs that match often enough are confirmed on the full sets, and linked nodes become
+components. Postings whose nodes are all in one component are done. In the others each node meets a
+node drawn for the posting, so that it meets many. What is left are groups of nodes that share
+values and aren't all linked, such as copies that have changed too much. Such a group is cut into blocks of
+:data:`BLOCK` nodes; each pair of blocks is compared on its full sets in one task, as a product of
+matrices, and only links that join components come out of it.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from .shingles import fingerprint, shingle_set
 COORDINATES = 48
 MATCHES = 26
 PERCENT = 80
+BLOCK = 256
 #: Bits of the sketch of document ids whose sets are needed; beyond its capacity more sets than needed are read.
 SKETCH_BITS = 1 << 24
 _random = np.random.default_rng(20)
@@ -69,12 +74,13 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(nodes: DataFrame) -> DataFrame:
-    """(value, node, n) for the values that can make pairs."""
+    """(value, node, n, weight) for the values that can make pairs; a node's weight says how many nodes share its values."""
     values = nodes.select("node", "n", F.posexplode("signature").alias("k", "v")).select("node", "n", F.xxhash64("k", "v").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("nodes")).filter("nodes > 1")
     held = values.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("nodes", "value"))).alias("held"))  # at most COORDINATES
     held = held.filter(F.size("held") >= MATCHES)
-    return held.select("node", "n", F.explode(F.expr(f"slice(held, 1, size(held) - {MATCHES - 1})")).alias("h")).select(F.col("h.value").alias("value"), "node", "n")
+    weight = F.aggregate("held", F.lit(0).cast("long"), lambda w, h: w + h["nodes"])
+    return held.select("node", "n", weight.alias("weight"), F.explode(F.expr(f"slice(held, 1, size(held) - {MATCHES - 1})")).alias("h")).select(F.col("h.value").alias("value"), "node", "n", "weight")
 
 
 def might_be_near(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -82,12 +88,16 @@ def might_be_near(n_a: Column, n_b: Column, percent: int) -> Column:
     return (F.least(n_a, n_b) * 100) >= (F.greatest(n_a, n_b) * percent)
 
 
+def matches(s: Column, t: Column) -> Column:
+    """In how many coordinates two signatures agree."""
+    return F.aggregate(F.zip_with(s, t, lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+
+
 def matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) whose signatures match often enough."""
     of_a, of_b = nodes.select(F.col("node").alias("a"), F.col("signature").alias("s")), nodes.select(F.col("node").alias("b"), F.col("signature").alias("t"))
     both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of_a, "a").join(of_b, "b")
-    matches = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    return both.filter(matches >= MATCHES).select("a", "b")
+    return both.filter(matches(F.col("s"), F.col("t")) >= MATCHES).select("a", "b")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -132,6 +142,61 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").mapInPandas(check, "a binary, b binary")
 
 
+def linked_in_blocks(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of different labels that postings hold together, directly or by way of others."""
+    first = postings.groupBy("value").agg(F.min("node").alias("b"))
+    groups = connected_components(postings.join(first, "value").select(F.col("node").alias("a"), "b").distinct())
+    nodes = postings.select("node", "label").distinct().join(groups.withColumnRenamed("label", "held"), "node")
+    sizes = nodes.groupBy("held").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("held", "blocks")
+    nodes = nodes.join(sizes, "held").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sets, "node")
+    each = nodes.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.select("held", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "shingles")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(links_between(pdf["node"].tolist(), pdf["label"].tolist(), [np.frombuffer(s, "<u8") for s in pdf["shingles"]], pdf["block"].to_numpy(), percent), columns=["a", "b"])
+
+    return each.groupBy("held", "i", "j").applyInPandas(link, "a binary, b binary")
+
+
+def links_between(nodes: list[bytes], labels: list[bytes], sets: list[np.ndarray], blocks: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join labels, enough to connect all that such links connect; of two blocks only those between them."""
+    values, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    sizes = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    kept = shared[of]
+    row, of = row[kept], place[of[kept]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(of, kind="stable")
+    row, of = row[order], of[order]
+    for start in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(of, (start, start + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], of[a:b] - start] = 1
+        both += part @ part.T
+    near = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    if blocks.min() != blocks.max():
+        near &= blocks[:, None] != blocks[None, :]
+    number = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+    own = np.array([number[x] for x in labels])
+    near &= own[:, None] != own[None, :]
+    parent = list(range(len(number)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    out = []
+    for i, j in np.argwhere(np.triu(near, 1)).tolist():
+        x, y = root(int(own[i])), root(int(own[j]))
+        if x != y:
+            parent[x] = y
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
 
@@ -151,25 +216,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     links = None
     labels = None
     near_sets = written(sets_of(docs, open_.select("node").distinct().join(nodes, "node").select("doc_id"), width), "sets")
-    for hub in (F.min, F.max, None):
+    typical, drawn = F.struct("weight", "node", "n", "label"), F.struct(F.xxhash64("value", "node"), "node", "n", "label")
+    for hub in (typical, drawn, None):
         if open_.isEmpty():
             break
-        own = open_ if labels is None else open_.join(labels, "node", "left").select("value", "node", "n", F.coalesce("label", "node").alias("label"))
-        if labels is None:
-            own = own.withColumn("label", F.col("node"))
+        own = open_.withColumn("label", F.col("node")) if labels is None else open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = own.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("value")
-        open_ = written(own.join(mixed, "value"), "postings")
+        open_ = written(own.join(mixed, "value").select("value", "node", "n", "weight", "label"), "postings")
         if hub is not None:
-            hubs = open_.groupBy("value").agg(hub(F.struct("node", "n", "label")).alias("h"))
+            hubs = open_.groupBy("value").agg(F.max(hub).alias("h"))
             pairs = open_.join(hubs, "value").select("node", "n", "label", F.col("h.node").alias("node_"), F.col("h.n").alias("n_"), F.col("h.label").alias("label_"))
+            pairs = pairs.filter((F.col("label") != F.col("label_")) & might_be_near(F.col("n"), F.col("n_"), percent)).select(F.col("node").alias("a"), F.col("node_").alias("b"))
+            found = written(confirmed(matching(pairs, nodes), near_sets, percent), "links")
         else:
-            other = open_.select("value", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label")))
-            pairs = open_.join(other, "value").filter("node < node_")
-        pairs = pairs.filter((F.col("label") != F.col("label_")) & might_be_near(F.col("n"), F.col("n_"), percent)).select(F.col("node").alias("a"), F.col("node_").alias("b"))
-        found = written(confirmed(matching(pairs, nodes), near_sets, percent), "links")
+            found = written(linked_in_blocks(open_, near_sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)
-        open_ = open_.select("value", "node", "n")
+        open_ = open_.drop("label")
     own = rows.select("doc_id", "n_shingles", "node")
     if labels is not None:
         own = own.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
