@@ -201,7 +201,7 @@ class Model:
 class Tagger:
     """Applies a model; remembers the scores of words."""
 
-    def __init__(self, model: Model, most: int = 300_000) -> None:
+    def __init__(self, model: Model, most: int = 200_000) -> None:
         self.model, self.most = model, most
         self.chains = Chains(model.transitions, model.start)
         self.forget()
@@ -211,10 +211,13 @@ class Tagger:
         self.table = np.zeros((0, len(self.model.languages)))
 
     def learn(self, words: list[str]) -> None:
-        """Scores of words not seen before, all at once."""
-        ids, counts = features_of(words)
-        sums = np.add.reduceat(self.model.weights[ids], np.cumsum(counts) - counts, axis=0)
-        self.table = np.concatenate([self.table, sums / np.sqrt(counts)[:, None]])
+        """Scores of words not seen before, many at once."""
+        parts = [self.table]
+        for a in range(0, len(words), 10_000):
+            ids, counts = features_of(words[a : a + 10_000])
+            sums = np.add.reduceat(self.model.weights[ids], np.cumsum(counts) - counts, axis=0)
+            parts.append(sums / np.sqrt(counts)[:, None])
+        self.table = np.concatenate(parts)
 
     def tag(self, words: list[list[str]]) -> list[np.ndarray]:
         """Marginals of the words of each text; texts without words get none."""
@@ -285,7 +288,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             held.append(Tagger(shared.value))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks_of(texts, 3_000_000):
+            for a, b in chunks_of(texts, 1_000_000):
                 found = held[0].predict(texts[a:b]) if shared.value.languages else [(UNKNOWN, 0.0)] * (b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -309,7 +312,7 @@ def in_a_language(docs: DataFrame, model: Model, least: float = 0.0) -> DataFram
             held.append(Tagger(shared.value))
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            found = [p for a, b in chunks_of(texts, 3_000_000) for p in held[0].predict(texts[a:b])]
+            found = [p for a, b in chunks_of(texts, 1_000_000) for p in held[0].predict(texts[a:b])]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

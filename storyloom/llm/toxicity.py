@@ -169,7 +169,7 @@ def _sums(of: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 class Scorer:
     """Applies a model; remembers the values of words."""
 
-    def __init__(self, model: Model, most: int = 500_000) -> None:
+    def __init__(self, model: Model, most: int = 300_000) -> None:
         self.model, self.most = model, most
         self.places: dict[str, int] = {}
         self.values = np.zeros(0)
@@ -183,7 +183,8 @@ class Scorer:
         new = [w for w in dict.fromkeys(flat) if w not in self.places]
         if new:
             self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
-            self.values = np.concatenate([self.values, self.model.word_values(*hashed_features(new, BUCKETS, GRAMS))])
+            parts = [self.model.word_values(*hashed_features(new[a : a + 10_000], BUCKETS, GRAMS)) for a in range(0, len(new), 10_000)]
+            self.values = np.concatenate([self.values, *parts])
         values = self.values[np.fromiter(map(self.places.__getitem__, flat), np.int64, len(flat))]
         lengths = np.array([len(w) for w in words], np.int64)
         full = lengths > 0
