@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import chunks_of, new_folder, table
 from .tokens import encoder
 
-BLOCK = 1024
+BLOCK = 4096
 COVERED = 0.9
 SEGMENT_IDS = 1 << 16
 HEADER = np.dtype([("n", "<u2"), ("low", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
