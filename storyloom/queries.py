@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, enrichment, joins, normalize, quality, ranking  # noqa: F401
+from .plans import aggregates, enrichment, joins, lifecycle, normalize, quality, ranking, reads  # noqa: F401
 from .plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
