@@ -10,8 +10,9 @@ from ..functions import urls
 from ..operators import clusters as c
 from ..sources import entries as e
 from . import sql
+from .enrichment import E3, FACTS_SQL, FOCUS_SQL, K1, K4, why_it_matters
 from .quality import FEED_SQL, feeds
-from .ranking import CLUSTERS, LAST, STAMP
+from .ranking import CLUSTERS, FULL_CLUSTERS, LAST, STAMP
 from .registry import query
 
 
@@ -88,17 +89,21 @@ def r06(spark: SparkSession, d: str) -> DataFrame:
 
 def snippet(text: Column, term: str, most: int = 220) -> Column:
     """The text around the first hit, with dots where it is cut."""
-    at = F.locate(term.lower(), F.lower(text))
-    start = F.greatest(F.lit(1), at - F.lit((most - len(term)) // 2))
-    end = F.least(F.length(text), start + F.lit(most - 1))
-    cut = F.concat(F.when(start > 1, "...").otherwise(""), F.substr(text, start, end - start + 1), F.when(end < F.length(text), "...").otherwise(""))
-    return F.when(F.length(text) <= most, text).otherwise(F.when(at == 0, F.substr(text, F.lit(1), F.lit(most))).otherwise(cut))
+    text = F.trim(text)
+    at = F.locate(term.lower(), F.lower(text)) - 1
+    end = F.least(F.length(text), F.greatest(F.lit(0), at - most // 2) + most)
+    start = F.greatest(F.lit(0), end - most)
+    cut = F.concat(F.when(start > 0, "...").otherwise(""), F.trim(F.substr(text, start + 1, end - start)), F.when(end < F.length(text), "...").otherwise(""))
+    none = F.concat(F.rtrim(F.substr(text, F.lit(1), F.lit(most - 3))), F.lit("..."))
+    return F.when(F.length(text) <= most, text).when(at < 0, none).otherwise(cut)
 
 
 def _snippet_sql(text: str, term: str, most: int = 220) -> str:
-    start = f"greatest(1, instr(lower({text}), '{term}') - {(most - len(term)) // 2})"
-    end = f"least(length({text}), {start} + {most - 1})"
-    return f"CASE WHEN length({text}) <= {most} THEN {text} WHEN instr(lower({text}), '{term}') = 0 THEN substr({text}, 1, {most}) ELSE CASE WHEN {start} > 1 THEN '...' ELSE '' END || substr({text}, {start}, {end} - {start} + 1) || CASE WHEN {end} < length({text}) THEN '...' ELSE '' END END"
+    text = f"trim({text})"
+    at = f"(instr(lower({text}), '{term}') - 1)"
+    end = f"least(length({text}), greatest(0, {at} - {most // 2}) + {most})"
+    start = f"greatest(0, {end} - {most})"
+    return f"CASE WHEN length({text}) <= {most} THEN {text} WHEN {at} < 0 THEN rtrim(substr({text}, 1, {most - 3})) || '...' ELSE CASE WHEN {start} > 0 THEN '...' ELSE '' END || trim(substr({text}, {start} + 1, {end} - {start})) || CASE WHEN {end} < length({text}) THEN '...' ELSE '' END END"
 
 
 @query("r09_snippets", f"SELECT doc_id, {_snippet_sql('text', 'licensed')} AS snippet FROM documents WHERE contains(lower(text), 'licensed')")
@@ -114,31 +119,58 @@ def search(links: DataFrame, term: str, limit: int = 200) -> DataFrame:
 
     The newest ``limit`` visible clusters that match are looked at: that bounds a search, as readers see it.
     """
-    rows = c.clusters(links).filter("status <> 'hidden'")
-    hit = lambda x: F.lower(x).contains(term.lower())
-    sources = links.select("cluster_id", "article_id", "title", "publisher", "published_at", "similarity_score")
-    by_source = sources.filter(hit(F.col("title")) | hit(F.col("publisher"))).select("cluster_id").distinct().withColumn("by_source", F.lit(True))
-    found = rows.join(by_source, "cluster_id", "left").filter(hit(F.col("headline")) | hit(F.col("topic")) | F.coalesce("by_source", F.lit(False)))
-    found = found.orderBy(F.desc("last_updated"), "cluster_id").limit(limit)
-    of_cluster = found.filter(hit(F.col("headline")) | hit(F.col("topic"))).select("cluster_id", F.lit("cluster").alias("type"), F.when(hit(F.col("headline")), "headline").otherwise("topic").alias("field"), F.when(hit(F.col("headline")), 100).otherwise(92).alias("rank"), F.lit(-1).cast("long").alias("article_id"))
-    of_source = found.select("cluster_id").join(sources.filter(hit(F.col("title")) | hit(F.col("publisher"))), "cluster_id").select("cluster_id", F.lit("source").alias("type"), F.when(hit(F.col("title")), "title").otherwise("publisher").alias("field"), F.when(hit(F.col("title")), 96).otherwise(90).alias("rank"), "article_id")
-    return of_cluster.unionByName(of_source)
-
+    rows = c.clusters(links).filter("status <> 'hidden'").join(why_it_matters(links), "cluster_id")
+    q = term.lower()
 
-SEARCH_SQL = f""", sr AS (SELECT DISTINCT cluster_id FROM link WHERE contains(lower(title), '{TERM}') OR contains(lower(publisher), '{TERM}')),
-fd AS (SELECT * FROM cluster WHERE status <> 'hidden' AND (contains(lower(headline), '{TERM}') OR contains(lower(topic), '{TERM}') OR cluster_id IN (SELECT cluster_id FROM sr)) ORDER BY last_updated DESC, cluster_id LIMIT 200),
-res AS (SELECT cluster_id, 'cluster' AS type, CASE WHEN contains(lower(headline), '{TERM}') THEN 'headline' ELSE 'topic' END AS field, CASE WHEN contains(lower(headline), '{TERM}') THEN 100 ELSE 92 END AS rank, CAST(-1 AS BIGINT) AS article_id FROM fd WHERE contains(lower(headline), '{TERM}') OR contains(lower(topic), '{TERM}')
-  UNION ALL SELECT cluster_id, 'source', CASE WHEN contains(lower(l.title), '{TERM}') THEN 'title' ELSE 'publisher' END, CASE WHEN contains(lower(l.title), '{TERM}') THEN 96 ELSE 90 END, article_id FROM fd JOIN link l USING (cluster_id) WHERE contains(lower(l.title), '{TERM}') OR contains(lower(l.publisher), '{TERM}'))"""
+    def hit(column: str) -> Column:
+        return F.lower(column).contains(q)
 
-
-@query("r07_search", CLUSTERS + SEARCH_SQL + " SELECT cluster_id, type, field, CAST(rank AS INTEGER) AS rank, article_id FROM res")
+    sources = links.select("cluster_id", "article_id", "title", "publisher")
+    own = hit("publisher") | hit("title")
+    by_source = sources.filter(own).select("cluster_id").distinct().withColumn("by_source", F.lit(True))
+    in_cluster = hit("headline") | hit("topic") | hit("why_it_matters")
+    found = rows.join(by_source, "cluster_id", "left").filter(in_cluster | F.coalesce("by_source", F.lit(False)))
+    found = found.orderBy(F.desc("last_updated"), "cluster_id").limit(limit)
+    exact = (F.lower("headline") == q) | (F.lower("topic") == q)
+    field = F.coalesce(*(F.when(hit(f), F.lit(f)) for f in ("headline", "topic", "why_it_matters")))
+    rank = F.when(exact, 100).when(hit("headline"), 92).when(hit("topic"), 88).when(hit("why_it_matters"), 72).otherwise(60)
+    none = F.lit(-1).cast("long")
+    of_cluster = found.filter(in_cluster).select("cluster_id", F.lit("cluster").alias("type"), field.alias("field"), rank.alias("rank"), none.alias("article_id"))
+    of_update = found.filter(hit("why_it_matters")).select("cluster_id", F.lit("update").alias("type"), F.lit("why_it_matters").alias("field"), F.lit(78).alias("rank"), none.alias("article_id"))
+    rank = F.when(F.lower("publisher") == q, 96).when(hit("publisher"), 90).otherwise(74)
+    of_source = found.select("cluster_id").join(sources.filter(own), "cluster_id").select("cluster_id", F.lit("source").alias("type"), F.when(hit("publisher"), "publisher").otherwise("title").alias("field"), rank.alias("rank"), "article_id")
+    return of_cluster.unionByName(of_update).unionByName(of_source)
+
+
+def _hit(column: str) -> str:
+    return f"contains(lower({column}), '{TERM}')"
+
+
+SEARCH = (
+    FULL_CLUSTERS
+    + E3
+    + K4
+    + K1
+    + FOCUS_SQL
+    + FACTS_SQL
+    + f""", sr AS (SELECT DISTINCT cluster_id FROM link WHERE {_hit('title')} OR {_hit('publisher')}),
+wm AS (SELECT k.*, 'This matters because ' || len(publishers) || ' publishers kept updating ' || focus || ' over ' || hours || ' hours, which indicates sustained relevance and continuing developments.' AS why_it_matters FROM cluster k JOIN facts USING (cluster_id) JOIN focus USING (cluster_id)),
+fd AS (SELECT * FROM wm WHERE status <> 'hidden' AND ({_hit('headline')} OR {_hit('topic')} OR {_hit('why_it_matters')} OR cluster_id IN (SELECT cluster_id FROM sr)) ORDER BY last_updated DESC, cluster_id LIMIT 200),
+res AS (SELECT cluster_id, 'cluster' AS type, CASE WHEN {_hit('headline')} THEN 'headline' WHEN {_hit('topic')} THEN 'topic' ELSE 'why_it_matters' END AS field,
+    CASE WHEN lower(headline) = '{TERM}' OR lower(topic) = '{TERM}' THEN 100 WHEN {_hit('headline')} THEN 92 WHEN {_hit('topic')} THEN 88 ELSE 72 END AS rank, CAST(-1 AS BIGINT) AS article_id FROM fd WHERE {_hit('headline')} OR {_hit('topic')} OR {_hit('why_it_matters')}
+  UNION ALL SELECT cluster_id, 'update', 'why_it_matters', 78, CAST(-1 AS BIGINT) FROM fd WHERE {_hit('why_it_matters')}
+  UNION ALL SELECT cluster_id, 'source', CASE WHEN {_hit('l.publisher')} THEN 'publisher' ELSE 'title' END, CASE WHEN lower(l.publisher) = '{TERM}' THEN 96 WHEN {_hit('l.publisher')} THEN 90 ELSE 74 END, article_id FROM fd JOIN link l USING (cluster_id) WHERE {_hit('l.title')} OR {_hit('l.publisher')})"""
+)
+
+
+@query("r07_search", SEARCH + " SELECT cluster_id, type, field, CAST(rank AS INTEGER) AS rank, article_id FROM res")
 def r07(spark: SparkSession, d: str) -> DataFrame:
-    return search(c.linked(spark, d), TERM)
+    return search(c.linked_with_keywords(spark, d), TERM)
 
 
-@query("r08_rank_table", CLUSTERS + SEARCH_SQL + " SELECT type, field, CAST(max(rank) AS INTEGER) AS rank FROM res GROUP BY ALL")
+@query("r08_rank_table", SEARCH + " SELECT type, field, CAST(max(rank) AS INTEGER) AS rank FROM res GROUP BY ALL")
 def r08(spark: SparkSession, d: str) -> DataFrame:
-    return search(c.linked(spark, d), TERM).groupBy("type", "field").agg(F.max("rank").alias("rank"))
+    return search(c.linked_with_keywords(spark, d), TERM).groupBy("type", "field").agg(F.max("rank").alias("rank"))
 
 
 @query("r10_first_field", CLUSTERS + " SELECT cluster_id, CASE WHEN contains(lower(headline), 'an') THEN 'headline' WHEN contains(lower(topic), 'an') THEN 'topic' END AS field FROM cluster WHERE contains(lower(headline), 'an') OR contains(lower(topic), 'an')")
@@ -147,9 +179,9 @@ def r10(spark: SparkSession, d: str) -> DataFrame:
     return c.clusters(c.linked(spark, d)).select("cluster_id", field.alias("field")).filter("field IS NOT NULL")
 
 
-@query("a15_search_counts", CLUSTERS + SEARCH_SQL + " SELECT count(*) FILTER (type = 'cluster') AS clusters, count(*) FILTER (type = 'source') AS sources, count(*) AS total FROM res")
+@query("a15_search_counts", SEARCH + " SELECT count(*) FILTER (type = 'cluster') AS clusters, count(*) FILTER (type = 'update') AS updates, count(*) FILTER (type = 'source') AS sources, count(*) AS total FROM res")
 def a15(spark: SparkSession, d: str) -> DataFrame:
-    return search(c.linked(spark, d), TERM).agg(F.count_if(F.col("type") == "cluster").alias("clusters"), F.count_if(F.col("type") == "source").alias("sources"), F.count("*").alias("total"))
+    return search(c.linked_with_keywords(spark, d), TERM).agg(F.count_if(F.col("type") == "cluster").alias("clusters"), F.count_if(F.col("type") == "update").alias("updates"), F.count_if(F.col("type") == "source").alias("sources"), F.count("*").alias("total"))
 
 
 @query("r11_source_health", sql.ARTICLE + f", {FEED_SQL}, s AS (SELECT feed_id, count(*) AS n FROM article WHERE published_at >= {LAST} - INTERVAL 7 DAY GROUP BY feed_id) SELECT feed_id, feed_title, CASE WHEN contains(feed_url, 'news.google') THEN 'aggregator' WHEN disabled THEN 'disabled' ELSE 'ok' END AS state, coalesce(n, 0) AS recent, split_part(feed_url, '#', 1) AS url FROM feed LEFT JOIN s USING (feed_id)")
