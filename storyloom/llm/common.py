@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, return.
 ASCII_SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,6 +58,23 @@ def crc_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], T]) -> T:
+    """What a Python worker remembers from task to task. It remembers one thing: another key's goes first."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def slices_of(batch, rows: int = 512) -> Iterator:
+    """A record batch in parts, so that few texts are Python objects at a time."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def chunks_of(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` with about ``chars`` characters each, at least one text."""
     start = total = 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks_of, table
+from .common import chunks_of, slices_of, table
 
 Q = 8
 EDITS = 0.08
@@ -231,7 +231,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
         at = docs.columns.index("text")
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices_of(whole)):
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 clean = np.ones(len(texts), bool)
                 for a, b in chunks_of(texts, 1_000_000):

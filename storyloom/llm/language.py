@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks_of, crc_of, table
+from .common import chunks_of, crc_of, kept, slices_of, table
 from .ngrams import hashed_features
 
 FEATURES = 1 << 16
@@ -201,7 +200,7 @@ class Model:
 class Tagger:
     """Applies a model; remembers the scores of words."""
 
-    def __init__(self, model: Model, most: int = 200_000) -> None:
+    def __init__(self, model: Model, most: int = 120_000) -> None:
         self.model, self.most = model, most
         self.chains = Chains(model.transitions, model.start)
         self.forget()
@@ -267,12 +266,6 @@ def learned(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     return Model(languages).fit([r["text"] for r in rows], [languages.index(r["lang"]) for r in rows]) if languages else Model([])
 
 
-@lru_cache(maxsize=1)
-def tagger_of(key: str) -> list[Tagger]:
-    """A place for this worker's tagger of one model."""
-    return []
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of each row of ``docs``.
 
@@ -280,16 +273,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     is UNKNOWN with score 0. Repeated rows are predicted each. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = str(hash((tuple(model.languages), float(model.weights.sum()), float(model.transitions.sum()))))
+    key = "tagger" + str(hash((tuple(model.languages), float(model.weights.sum()), float(model.transitions.sum()))))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = tagger_of(key)
-        if not held:
-            held.append(Tagger(shared.value))
-        for batch in batches:
+        tagger = kept(key, lambda: Tagger(shared.value))
+        for batch in (part for whole in batches for part in slices_of(whole)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks_of(texts, 1_000_000):
-                found = held[0].predict(texts[a:b]) if shared.value.languages else [(UNKNOWN, 0.0)] * (b - a)
+                found = tagger.predict(texts[a:b]) if shared.value.languages else [(UNKNOWN, 0.0)] * (b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
@@ -304,15 +295,13 @@ def in_a_language(docs: DataFrame, model: Model, least: float = 0.0) -> DataFram
     if not model.languages:
         return docs
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
-    key = str(hash((tuple(model.languages), float(model.weights.sum()), float(model.transitions.sum()))))
+    key = "tagger" + str(hash((tuple(model.languages), float(model.weights.sum()), float(model.transitions.sum()))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = tagger_of(key)
-        if not held:
-            held.append(Tagger(shared.value))
-        for batch in batches:
+        tagger = kept(key, lambda: Tagger(shared.value))
+        for batch in (part for whole in batches for part in slices_of(whole)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            found = [p for a, b in chunks_of(texts, 1_000_000) for p in held[0].predict(texts[a:b])]
+            found = [p for a, b in chunks_of(texts, 1_000_000) for p in tagger.predict(texts[a:b])]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

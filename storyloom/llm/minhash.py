@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks_of, table, written
+from .common import chunks_of, slices_of, table, written
 from .components import connected_components
 from .shingles import fingerprint, shingle_set
 
@@ -61,7 +61,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, node (16 bytes; null if the set is empty) and signature of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             texts = batch.column(1).to_pylist()
             for a, b in chunks_of([t or "" for t in texts]):
                 sets = [shingle_set(t, width) for t in texts[a:b]]
@@ -114,7 +114,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(sketch)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             bits = batch.column(1).to_numpy()
             wanted = np.flatnonzero((shared.value[bits >> 5] >> (bits & 31).astype(np.uint32)) & np.uint32(1) | batch.column(0).is_null().to_numpy(zero_copy_only=False))
             texts = batch.column(2).take(pa.array(wanted)).to_pylist()

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import xxhash
 
+from .common import kept
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -15,15 +16,14 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered; empties itself when it gets large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return kept("word hashes", WordHashes)
 
 
 def words_of(text: str) -> list[bytes]:

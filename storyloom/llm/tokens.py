@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from .common import kept
+
 # Spark runs one task on each core already.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -149,7 +150,6 @@ class Encoder:
         return ended, sizes + 1
 
 
-@lru_cache(maxsize=2)
 def encoder(name: str) -> Encoder:
     """This worker's encoder for a public vocabulary."""
-    return Encoder(vocabulary_path(name))
+    return kept(f"encoder {name}", lambda: Encoder(vocabulary_path(name)))

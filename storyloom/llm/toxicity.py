@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks_of, crc_of, table
+from .common import chunks_of, crc_of, kept, table
 from .ngrams import hashed_features
 
 BUCKETS = 1 << 16
@@ -213,12 +212,6 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model().fit([r["text"] for r in rows], [int(chosen[r["doc_id"]]) for r in rows])
 
 
-@lru_cache(maxsize=1)
-def _held(key: str) -> list[Scorer]:
-    """A place for this worker's scorer of one model."""
-    return []
-
-
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of each row of ``docs`` (doc_id, text), and predicted (1 from 0.5 on).
 
@@ -226,16 +219,14 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     Rows with one doc_id are scored each. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = str(hash((model.scale, model.shift, float(model.linear.sum()))))
+    key = "scorer" + str(hash((model.scale, model.shift, float(model.linear.sum()))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _held(key)
-        if not held:
-            held.append(Scorer(shared.value))
+        scorer = kept(key, lambda: Scorer(shared.value))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks_of(texts):
-                found = held[0].score(texts[a:b])
+                found = scorer.score(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double, predicted int")
