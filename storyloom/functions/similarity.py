@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Words that tell no story from another.
 CLUSTER_STOPWORDS = "a an and are as at be been being blank but by com continue for from get had has have he her his href https in into is it its not of on or our said says she that the their they this to was were will with you your".split()
@@ -78,7 +79,7 @@ def class_mismatch(a: Column, b: Column) -> Column:
     return (a != "unknown") & (b != "unknown") & (a != b) & (apart(a, b) | apart(b, a))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two titles, 0 if one is empty."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
