@@ -276,11 +276,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     key = "tagger" + str(hash((tuple(model.languages), float(model.weights.sum()), float(model.transitions.sum()))))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = kept(key, lambda: Tagger(shared.value))
+        tagger = kept(key, lambda: Tagger(shared.value)) if shared.value.languages else None
         for batch in (part for whole in batches for part in slices_of(whole)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks_of(texts, 1_000_000):
-                found = tagger.predict(texts[a:b]) if shared.value.languages else [(UNKNOWN, 0.0)] * (b - a)
+                found = tagger.predict(texts[a:b]) if tagger else [(UNKNOWN, 0.0)] * (b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
