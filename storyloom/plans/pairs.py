@@ -244,3 +244,90 @@ def _related_input(spark: SparkSession, d: str) -> DataFrame:
 @query("w11_most_related", FULL_CLUSTERS + E3 + K4 + K1 + FOCUS_SQL + _REL.replace("{k}", keywords_sql("keywords")).replace("{n}", entities_sql("entities")).replace("{b}", sql.listed(TOPIC_BLOCKLIST)) + " SELECT cluster_id, list(related_id ORDER BY score DESC, entity DESC, keyword DESC, last_updated DESC, related_id DESC)[1] AS related_id FROM rs GROUP BY cluster_id")
 def w11(spark: SparkSession, d: str) -> DataFrame:
     return related(_related_input(spark, d), 1).select("cluster_id", "related_id")
+
+
+def all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Articles against the stand-in clusters of their publisher's and topic's window, evaluated."""
+    from .joins import window_candidates
+
+    rows = features(spark, d)
+    by_cluster = cluster_features(rows)
+    articles = rows.select(F.col("article_id").alias("id"), F.col("topic_key").alias("category"), F.col("at").alias("published_at"))
+    clusters = by_cluster.select(F.col("feed_id").alias("cluster_id"), F.col("topic_key_").alias("topic"), F.col("at_").alias("last_updated"))
+    found = window_candidates(articles, clusters).select(F.col("id").alias("article_id"), F.col("cluster_id").alias("candidate"))
+    both = found.join(rows.drop("feed_id"), "article_id").join(by_cluster, F.col("candidate") == F.col("feed_id"))
+    return s.evaluated(both)
+
+
+def best_candidates(pairs: DataFrame, tie: float = s.TIE) -> DataFrame:
+    """(article_id, best): the candidate that an ordered walk ends with.
+
+    Candidates come newest first. One takes the lead if its score is higher by more than ``tie``, or as good within
+    it with more shared entities, keywords, a later time or a larger id. That isn't transitive, so it is a fold and no maximum.
+    """
+    one = F.struct(F.col("at_").alias("at"), "candidate", "score", "entity_overlap", "keyword_overlap")
+    lists = pairs.filter("gate").groupBy("article_id").agg(F.sort_array(F.collect_list(one), asc=False).alias("c"))
+
+    def rank(x):
+        return F.struct(x["entity_overlap"], x["keyword_overlap"], x["at"], x["candidate"])
+
+    def better(best, x):
+        ahead = (x["score"] > best["score"] + tie) | ((best["score"] <= x["score"] + tie) & (rank(x) > rank(best)))
+        return F.when(ahead, x).otherwise(best)
+
+    return lists.select("article_id", F.aggregate(F.slice("c", 2, F.size("c")), F.col("c")[0], better).alias("best"))
+
+
+@query("c17_best_candidate")
+def c17(spark: SparkSession, d: str) -> DataFrame:
+    return best_candidates(all_pairs(spark, d)).select("article_id", F.col("best.candidate").alias("candidate"), F.col("best.score").alias("score"))
+
+
+def explained(pairs: DataFrame) -> DataFrame:
+    """Each pair's decision with its reason, warnings and membership status."""
+    attach, over = F.col("attach"), F.col("override") & (F.col("score") < s.SCORE)
+    reason = F.when(attach & over, "attached_to_existing_cluster_via_override").when(attach, "attached_to_existing_cluster").when(F.col("gate"), "best_candidate_below_score_threshold_and_no_safe_override").otherwise("strongest_candidate_failed_semantic_gate")
+    warnings = F.array_compact(F.array(F.when(attach & (F.col("score") < s.SCORE), "attached_below_score_threshold"), F.when(attach & (F.col("semantic_score") < s.TOPIC_SEMANTIC) & (F.col("title_similarity") < s.TITLE_SIGNAL) & (F.col("entity_overlap") < s.ENTITY_OVERLAP) & (F.col("keyword_overlap") < s.KEYWORD_OVERLAP), "low_semantic_score"), F.when(attach & F.col("primary_overlap") & ~F.col("title_entity_overlap"), "primary_entity_not_in_titles")))
+    few = F.col("rejection").isin("missing_primary_entity_overlap", "location_conflict_without_entity_overlap", "distinct_event_signatures", "generic_keyword_only_overlap", "weak_primary_entity_context")
+    status = (
+        F.when(F.col("content_class") == "service_finance", "rejected_service_finance")
+        .when((F.col("content_class") == "low_trust_aggregator") | (F.col("rejection") == "low_trust_aggregator_attach_blocked"), "low_trust_aggregator_only")
+        .when(F.col("rejection") == "content_class_mismatch", "rejected_content_class_mismatch")
+        .when(few, "rejected_low_entity_overlap")
+        .when(F.col("rejection").isin("weak_semantic_signals", "topic_mismatch", "story_window_expired"), "rejected_low_similarity")
+        .otherwise("candidate_needs_more_sources")
+    )
+    return pairs.withColumn("decision", F.when(attach, "attach_existing_cluster").otherwise("create_new_cluster")).withColumn("decision_reason", reason).withColumn("warnings", warnings).withColumn("status", F.when(~attach, status))
+
+
+@query("c19_explanations")
+def c19(spark: SparkSession, d: str) -> DataFrame:
+    rows = features(spark, d)
+    out = explained(s.evaluated(rows.join(cluster_features(rows), "feed_id")))
+    return out.select("article_id", "feed_id", "decision", "decision_reason", t.joined(F.col("warnings")).alias("warnings"), "status")
+
+
+@query("c21_run_result")
+def c21(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a run's decisions."""
+    rows = features(spark, d)
+    out = explained(s.evaluated(rows.join(cluster_features(rows), "feed_id")))
+    return out.agg(F.count("*").alias("evaluated"), F.count_if(~F.col("gate")).alias("signal_rejected"), F.count_if("attach").alias("attached"), F.count_if(~F.col("attach")).alias("created"), F.count_if(F.col("gate") & ~F.col("attach")).alias("low_confidence"))
+
+
+@query("r13_cluster_debug")
+def r13(spark: SparkSession, d: str) -> DataFrame:
+    """Per cluster: mean components, decisions, warnings by frequency, flags."""
+    rows = features(spark, d)
+    out = explained(s.evaluated(rows.join(cluster_features(rows), "feed_id")))
+    means = [F.round(F.avg(x), 4).alias(x) for x in ("title_similarity", "entity_jaccard", "keyword_jaccard", "semantic_score", "time_proximity", "score")]
+    stats = out.groupBy("feed_id").agg(*means, F.count_if("attach").alias("attached"), F.bool_or("gate").alias("gate_met"), F.bool_or("override").alias("override_met"))
+    warned = out.select("feed_id", F.explode("warnings").alias("warning")).groupBy("feed_id", "warning").agg(F.count("*").alias("n"))
+    listed = warned.groupBy("feed_id").agg(F.sort_array(F.collect_list(F.struct("n", "warning")), asc=False).alias("w"))
+    return stats.join(listed, "feed_id", "left").withColumn("warnings", F.array_join(F.transform("w", lambda x: F.concat(x["warning"], F.lit(":"), x["n"].cast("string"))), "|")).drop("w")
+
+
+@query("j13_related_lookup", FULL_CLUSTERS + E3 + K4 + K1 + FOCUS_SQL + _REL.replace("{k}", keywords_sql("keywords")).replace("{n}", entities_sql("entities")).replace("{b}", sql.listed(TOPIC_BLOCKLIST)) + ", tp AS (SELECT cluster_id, related_id, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, entity DESC, keyword DESC, last_updated DESC, related_id DESC) AS place FROM rs QUALIFY place <= 4) SELECT tp.cluster_id, CAST(place AS INTEGER) AS place, headline FROM tp JOIN cluster k ON k.cluster_id = related_id")
+def j13(spark: SparkSession, d: str) -> DataFrame:
+    headlines = c.clusters(c.linked(spark, d)).select(F.col("cluster_id").alias("related_id"), "headline")
+    return related(_related_input(spark, d)).join(headlines, "related_id").select("cluster_id", "place", "headline")

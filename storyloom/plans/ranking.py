@@ -124,3 +124,22 @@ def w15(spark: SparkSession, d: str) -> DataFrame:
     supporting = top.join(lead, "cluster_id", "left_anti").select("cluster_id", F.lit("supporting").alias("section"))
     developing = rows.join(top, "cluster_id", "left_anti").orderBy(F.desc("last_updated"), F.desc("score"), "cluster_id").limit(4).select("cluster_id", F.lit("developing").alias("section"))
     return lead.unionByName(supporting).unionByName(developing)
+
+
+@query("w12_recent_decisions", sql.LINK + ", r AS (SELECT cluster_id, article_id, row_number() OVER (PARTITION BY cluster_id ORDER BY article_id DESC) AS r FROM link) SELECT cluster_id, string_agg(CAST(article_id AS VARCHAR), '|' ORDER BY article_id DESC) AS ids FROM r WHERE r <= 8 GROUP BY cluster_id")
+def w12(spark: SparkSession, d: str) -> DataFrame:
+    r = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("article_id")))
+    rows = c.linked(spark, d).withColumn("r", r).filter("r <= 8").groupBy("cluster_id").agg(F.sort_array(F.collect_list("article_id"), asc=False).alias("ids"))
+    return rows.select("cluster_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), "|").alias("ids"))
+
+
+@query("w13_frequent_reasons", JUDGED_SQL + " SELECT reason, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, min(id)) AS INTEGER) AS place FROM (SELECT id, unnest(reasons) AS reason FROM judged) GROUP BY reason")
+def w13(spark: SparkSession, d: str) -> DataFrame:
+    """Reasons by frequency, first seen first: one row for each of a handful."""
+    counts = judged(spark, d).select("id", F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return counts.select("reason", "n", F.row_number().over(Window.orderBy(F.desc("n"), "first")).alias("place"))
+
+
+@query("r12_article_debug", JUDGED_SQL + " SELECT id, normalized_title, trust, content_class, rejected, array_to_string(reasons, '|') AS reasons, len(robust) AS n_entities FROM judged")
+def r12(spark: SparkSession, d: str) -> DataFrame:
+    return judged(spark, d).select("id", "normalized_title", "trust", "content_class", "rejected", t.joined(F.col("reasons")).alias("reasons"), F.size("robust").cast("long").alias("n_entities"))
