@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import chunks_of, slices_of, table, written
 from .components import connected_components
 from .shingles import fingerprint, shingle_set
+from .sketch import might_hold, sketch_of
 
 COORDINATES = 48
 MATCHES = 26
@@ -242,6 +243,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, all columns as they are.
+
+    A table of bits of the dropped ids tells which rows might go; only those are moved, to be held against the
+    ids themselves. Rows that share a doc_id stay or go together, and so do rows without one.
+    """
+    found = near_duplicates(docs, width, percent)
+    gone = written(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept").select(F.col("doc_id").alias("gone_id")), "dropped")
+    bits = docs.sparkSession.sparkContext.broadcast(sketch_of(gone.select(F.xxhash64("gone_id").alias("hash"))))
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.xxhash64(F.col("doc_id").cast("long")).alias("hash of the id"))
+
+    def part(doubtful: bool) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_columns - 1
+                yield batch.filter(pa.array(might_hold(bits.value, batch.column(n).to_numpy()) == doubtful)).select(list(range(n)))
+
+        return rows.mapInArrow(keep, docs.schema)
+
+    held = part(True)
+    return part(False).unionByName(held.join(gone, held["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles are near-duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)

@@ -196,6 +196,8 @@ def test_near_duplicates_of_odd_rows(spark):
     rows = minhash.near_duplicates(docs_of(spark, [(2, text), (2, text), (None, text), (None, "other words here and there"), (1, text)])).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in rows) == [("1", "1", True), ("2", "1", False), ("2", "1", False), ("None", "1", False), ("None", "None", True)]
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
+    kept = minhash.without_near_duplicates(docs_of(spark, [(2, text), (2, text), (None, text), (1, text), (7, "a b c d e f"), (8, None)]))
+    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")] and sorted(r["doc_id"] for r in kept.collect()) == [1, 7, 8]
 
 
 def test_links_between_blocks_are_exact():
