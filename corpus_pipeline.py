@@ -13,7 +13,7 @@ from storyloom.llm.common import table, written
 from storyloom.llm.decontaminate import without_leaks
 from storyloom.llm.language import held_out, in_a_language, learned
 from storyloom.llm.line_dedup import dedup_lines
-from storyloom.llm.minhash import near_duplicates
+from storyloom.llm.minhash import without_near_duplicates
 from storyloom.llm.packing import pack_documents
 
 
@@ -34,8 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates on 5-word shingles: the one with the smallest doc_id."""
-    kept = near_duplicates(docs, width=5).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return without_near_duplicates(docs, width=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
