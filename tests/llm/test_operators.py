@@ -255,6 +255,15 @@ def test_repeated_passages(spark):
     assert substrings.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def test_repeated_passages_that_no_hub_has(spark):
+    passage = prose(60, 31).split()
+    parts = lambda k: " ".join(" ".join(passage[x : x + 12]) + " " + prose(7, 1000 * k + x) for x in range(0, 60, 8))
+    rows = [(k, parts(k)) for k in (*range(12), *range(90, 102))]
+    rows += [(k, f"{prose(80, 300 + k)} {' '.join(passage)} {prose(70, 400 + k)}") for k in (50, 51, 52)]
+    found = substrings.repeated_passages(docs_of(spark, rows)).collect()
+    assert {(50, 51), (50, 52), (51, 52)} <= {tuple(sorted((r["doc_id"], r["other_id"]))) for r in found}
+
+
 # Benchmark
 
 
