@@ -264,6 +264,22 @@ def test_repeated_passages_that_no_hub_has(spark):
     assert {(50, 51), (50, 52), (51, 52)} <= {tuple(sorted((r["doc_id"], r["other_id"]))) for r in found}
 
 
+def test_passages_by_diagonal():
+    rng = np.random.default_rng(6)
+    new = lambda n: rng.integers(1, 2**32, n).astype(np.uint32)
+    passage = new(60)
+    own = np.concatenate([new(40), passage, new(40)])
+    found = substrings.verified(own, np.concatenate([new(5), passage[20:23], new(200), passage, new(30)]), 46, 80)
+    assert [r[:4] for r in found] == [(40, 99, 208, 267)]
+    near = passage.copy()
+    near[20:24] = new(4)
+    ends = np.concatenate([passage[:3], new(40)])
+    found = substrings.verified(np.concatenate([passage, new(12), passage[-20:]]), np.concatenate([ends, near, new(12), new(20)]), 46, 80)
+    assert any(a <= 5 and b >= 55 for a, b, *_ in found)
+    lines = np.tile(new(4), 1500)
+    assert substrings.verified(lines, lines, 46, 80)[0][:2] == (0, 5999)
+
+
 # Benchmark
 
 
