@@ -33,9 +33,15 @@ def drain(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None],
     return query
 
 
-def deduplicated(stream: DataFrame, keys: list[str], path: str, at: str = "ts", late: str = "24 hours") -> None:
-    """First rows of each key, within the watermark by the stream's state and beyond it by the stored table."""
-    rows = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+def deduplicated(stream: DataFrame, keys: list[str], path: str, at: str = "ts", late: str | None = None) -> None:
+    """First rows of each key, held against the stored table.
+
+    ``late`` is for live sources: the stream's state knows the keys within that watermark, and rows behind it are dropped. The
+    files of a stored table come in any order, so that without it no row is too late.
+    """
+    rows = stream.withColumn(at, F.col(at).cast("timestamp"))
+    if late:
+        rows = rows.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -51,9 +57,21 @@ def deduplicated(stream: DataFrame, keys: list[str], path: str, at: str = "ts",
     drain(rows, "dedupe", append)
 
 
-def windowed(stream: DataFrame, out: str, size: str = "1 hour", late: str = "24 hours") -> None:
-    """Counts of tumbling windows, updated while their watermark is open; the last update of a window counts."""
-    rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+def windowed(stream: DataFrame, out: str, size: str = "1 hour", late: str | None = None) -> None:
+    """Counts of tumbling windows: of each batch, to be added up.
+
+    With ``late``, for live sources, they are updated while their watermark is open, and the last update of a window counts.
+    """
+    rows = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    if not late:
+
+        def add(batch: DataFrame, number: int) -> None:
+            counts = batch.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"))
+            counts.select(F.col("window.start").alias("start"), "event_type", "n").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+        drain(rows, "windows", add)
+        return
+    rows = rows.withWatermark("ts", late)
     counts = rows.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"))
 
     def append(batch: DataFrame, number: int) -> None:
