@@ -81,13 +81,17 @@ def _large(queries: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]]) -> b
 def best_of(scores: np.ndarray, query_ids: np.ndarray, vec_ids: np.ndarray, k: int) -> pd.DataFrame:
     """Each query's k best candidates but itself, ties to smaller ids. ``vec_ids`` is in ascending order."""
     query, vec, score = [], [], []
-    own = scores.shape[1] > k
+    firsts, lasts = np.searchsorted(vec_ids, query_ids), np.searchsorted(vec_ids, query_ids, side="right")
     for i, row in enumerate(scores):
         at = np.arange(len(row))
-        if own:
-            least = np.partition(row, len(row) - k - 1)[len(row) - k - 1]  # k and one more, for the query itself
-            at = np.flatnonzero(row >= least)
-        at = at[vec_ids[at] != query_ids[i]]
+        if firsts[i] < lasts[i]:  # the query's own rows, however many, leave before the best are taken
+            at = np.delete(at, slice(firsts[i], lasts[i]))
+            row_ = row[at]
+        else:
+            row_ = row
+        if len(at) > k:
+            least = np.partition(row_, len(row_) - k)[len(row_) - k]
+            at = at[row_ >= least]
         at = at[np.lexsort((vec_ids[at], -row[at] if row[at].min(initial=0) > LONG.min else -row[at].astype(object)))][:k]
         query.append(np.full(len(at), query_ids[i]))
         vec.append(vec_ids[at])

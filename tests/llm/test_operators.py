@@ -123,6 +123,12 @@ def test_top_k_equals_brute_force(spark):
     assert sorted(map(tuple, found)) == expected
 
 
+def test_top_k_of_a_query_that_is_repeated():
+    scores = np.array([[9, 50, 50, 50, 50, 8, 7, 6]], np.int64)
+    found = topk.best_of(scores, np.array([2]), np.array([1, 2, 2, 2, 2, 3, 4, 5]), 3)
+    assert found.values.tolist() == [[2, 1, 9], [2, 3, 8], [2, 4, 7]]
+
+
 def test_top_k_of_huge_components(spark):
     rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0])]
     found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 2).collect()
