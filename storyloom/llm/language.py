@@ -1,11 +1,15 @@
 """Language identification of words by a linear-chain conditional random field.
 
 A text is a chain of words; each word has a language, so that code-switched text gets a
-label for each word. A word's features are its affixes, its character n-grams and the word
-itself where the lexicon knows it, hashed to :data:`FEATURES` weights for each language.
+label for each word. A word's features are its affixes and character n-grams, hashed to :data:`FEATURES`
+weights for each language, and one for each language whose lexicon has the word. A language's lexicon is
+learned: the words that stand in :data:`LEXICON_DOCS` of its labelled documents, of which half make the lexicons and the other
+half train the rest, so that training sees words that no lexicon has.
+
 Weights of features and transitions are trained jointly by maximum likelihood (gradients
 by forward-backward) on a bounded sample of labelled documents, whose words
-take their document's language. Prediction is forward-backward over whole texts; a
+take their document's language. Chains that are joined from two languages' documents teach the transitions
+what a switch is. Prediction is forward-backward over whole texts; a
 document's language has the largest mean of the words' marginals, which is its score.
 
 Long chains are cut into segments for speed, not for the result: products of a
@@ -15,6 +19,7 @@ segment's transfer matrices carry exact messages across the cuts.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,29 +27,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks_of, crc_of, kept, slices_of, table
+from .common import chunks_of, crc_of, is_latin, kept, mapped, sample_by_hash, table
 from .ngrams import hashed_features
 
 FEATURES = 1 << 16
 #: Labelled documents that are learned from, at most, for each language.
-SAMPLE = 150
+SAMPLE = 300
+#: Documents of a language that a word of its lexicon stands in, at least.
+LEXICON_DOCS = 2
+#: A chain joined from two languages for so many others.
+JOINED = 3
 #: Words of a chain in training; longer documents give several chains.
 CHAIN = 200
 SEGMENT = 256
 EPOCHS = 4
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Numbers that Python's `\w` takes beside digits: of the Latin ones, and all.
+LATIN_NUMBERS = "²³¹¼½¾"
+NUMBERS = re.compile("[" + "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]")
+WORD = re.compile(rf"[^\W\d_{LATIN_NUMBERS}]+(?:['’][^\W\d_{LATIN_NUMBERS}]+)*")
 UNKNOWN = "und"
+#: A text whose best language scores less is in none of the learned ones.
+LEAST_SCORE = 0.4
 HELD_OUT = (4, 2)
 
 
-def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed features of words and how many each has: itself, affixes of 1 to 4 characters and n-grams of 1 to 3."""
-    return hashed_features(words, FEATURES, grams=(1, 2, 3), affixes=(2, 3, 4, 5))
+def features_of(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of words and how many each has: affixes of 1 to 4 characters, n-grams of 1 to 3, and the lexicons that have it.
+
+    ``lexicon`` has bit k of a word's number set if the word is in the lexicon of language k, whose feature is FEATURES + k.
+    """
+    ids, counts = hashed_features(words, FEATURES, grams=(1, 2, 3), affixes=(2, 3, 4, 5), whole=False)
+    known = np.fromiter((lexicon.get(w, 0) for w in words), np.int64, len(words))
+    if not known.any():
+        return ids, counts
+    of, more = np.nonzero(known[:, None] >> np.arange(int(known.max()).bit_length()) & 1)
+    ids = np.insert(ids, np.cumsum(counts)[of], FEATURES + more)
+    return ids, counts + np.bincount(of, minlength=len(words))
 
 
 def words_of(text: str) -> list[str]:
     """Words of a text: runs of letters, in lower case."""
-    return WORD.findall(text.lower())
+    text = text.lower()
+    if not is_latin(text) and NUMBERS.search(text):
+        text = NUMBERS.sub("0", text)
+    return WORD.findall(text)
 
 
 class Chains:
@@ -143,22 +169,40 @@ class Model:
     def __init__(self, languages: list[str]) -> None:
         k = len(languages)
         self.languages = languages
-        self.weights = np.zeros((FEATURES, k), np.float32)
+        self.weights = np.zeros((FEATURES + k, k), np.float32)
+        self.lexicon: dict[str, int] = {}
         self.transitions, self.start = np.zeros((k, k)), np.zeros(k)
 
     def fit(self, texts: list[str], labels: list[int], seed: int = 1) -> Model:
         """Maximum likelihood by Adagrad over batches of chains."""
         rng, k = np.random.default_rng(seed), len(self.languages)
         ids: dict[str, int] = {}
-        chains, tags = [], []
+        chains: list[np.ndarray] = []
+        tags: list[np.ndarray] = []
+        spread: dict[tuple[str, int], int] = {}
+        seen_of = [0] * k
         for text, label in zip(texts, labels, strict=True):
+            seen_of[label] += 1
+            if seen_of[label] % 2 == 0:  # every other document of a language is for its lexicon
+                for w in set(words_of(text)):
+                    spread[w, label] = spread.get((w, label), 0) + 1
+                continue
             words = [ids.setdefault(w, len(ids)) for w in words_of(text)]
             for a in range(0, len(words), CHAIN):
                 chains.append(np.array(words[a : a + CHAIN]))
-                tags.append(label)
+                tags.append(np.full(len(chains[-1]), label))
+        for (w, label), n in spread.items():
+            if n >= LEXICON_DOCS:
+                self.lexicon[w] = self.lexicon.get(w, 0) | 1 << label
         if not chains:
             return self
-        flat, counts = features_of(list(ids))
+        for _ in range(len(chains) // JOINED if k > 1 else 0):
+            i, j = rng.integers(len(chains), size=2)
+            if tags[i][0] != tags[j][0]:
+                a, b = rng.integers(1, len(chains[i]) + 1), rng.integers(1, len(chains[j]) + 1)
+                chains.append(np.concatenate([chains[i][:a], chains[j][:b]]))
+                tags.append(np.concatenate([tags[i][:a], tags[j][:b]]))
+        flat, counts = features_of(list(ids), self.lexicon)
         starts = np.cumsum(counts) - counts
         seen = np.full(self.weights.shape, 1e-6, np.float32)
         seen_t, seen_s = np.full((k, k), 1e-6), np.full(k, 1e-6)
@@ -168,7 +212,8 @@ class Model:
                 batch = order[a : a + 32]
                 lengths = np.array([len(chains[i]) for i in batch])
                 words = np.concatenate([chains[i] for i in batch])
-                truth = np.eye(k)[np.repeat([tags[i] for i in batch], lengths)]
+                labels_ = np.concatenate([tags[i] for i in batch])
+                truth = np.eye(k)[labels_]
                 unique, of = np.unique(words, return_inverse=True)
                 n_each = counts[unique]
                 own = flat[np.repeat(starts[unique] - np.cumsum(n_each) + n_each, n_each) + np.arange(n_each.sum())]
@@ -182,14 +227,13 @@ class Model:
                 total = total / len(words) - 1e-6 * self.weights[by_feature]
                 seen[by_feature] += total**2
                 self.weights[by_feature] += 0.5 * total / np.sqrt(seen[by_feature])
-                right = np.zeros((k, k))
-                inner = lengths - 1
-                for i, n in zip(batch, inner, strict=True):
-                    right[tags[i], tags[i]] += n
+                inner = np.ones(len(labels_), bool)
+                inner[np.cumsum(lengths) - 1] = False
+                i = np.flatnonzero(inner)
+                right = np.bincount(labels_[i] * k + labels_[i + 1], minlength=k * k).reshape(k, k)
                 g = (right - steps) / len(words)
                 seen_t += g**2
-                # Documents of one language never show a switch: the step is kept small, so that words can still tell of one.
-                self.transitions += 0.02 * g / np.sqrt(seen_t)
+                self.transitions += 0.1 * g / np.sqrt(seen_t)
                 heads = np.cumsum(lengths) - lengths
                 g = (truth[heads] - found[heads]).mean(0)
                 seen_s += g**2
@@ -200,7 +244,7 @@ class Model:
 class Tagger:
     """Applies a model; remembers the scores of words."""
 
-    def __init__(self, model: Model, most: int = 120_000) -> None:
+    def __init__(self, model: Model, most: int = 100_000) -> None:
         self.model, self.most = model, most
         self.chains = Chains(model.transitions, model.start)
         self.forget()
@@ -213,7 +257,7 @@ class Tagger:
         """Scores of words not seen before, many at once."""
         parts = [self.table]
         for a in range(0, len(words), 10_000):
-            ids, counts = features_of(words[a : a + 10_000])
+            ids, counts = features_of(words[a : a + 10_000], self.model.lexicon)
             sums = np.add.reduceat(self.model.weights[ids], np.cumsum(counts) - counts, axis=0)
             parts.append(sums / np.sqrt(counts)[:, None])
         self.table = np.concatenate(parts)
@@ -250,12 +294,8 @@ def sample_of(docs: DataFrame, learn: Column, sample: int) -> list:
 
     First the ids of the sample are chosen, a bounded number in every task, then their texts are read.
     """
-    from pyspark.sql import Window
-
-    ids = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("long").alias("sample_id"), F.col("lang").alias("sample_lang"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("sample_lang").orderBy("h", "sample_id"))
-    ids = ids.withColumn("r", rank).filter(F.col("r") <= sample).select("sample_id").distinct()
-    wanted = [r[0] for r in ids.collect()]  # at most `sample` for each language
+    ids = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("long").alias("sample_id"), F.col("lang").alias("sample_lang"))
+    wanted = sorted({r["id"] for r in sample_by_hash(ids, "sample_lang", "sample_id", sample)})
     return docs.filter(F.col("doc_id").isin(wanted) & learn & F.col("lang").isNotNull()).select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(4 * len(wanted) + 1).collect() if wanted else []
 
 
@@ -277,16 +317,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = kept(key, lambda: Tagger(shared.value)) if shared.value.languages else None
-        for batch in (part for whole in batches for part in slices_of(whole)):
+        for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks_of(texts, 1_000_000):
                 found = tagger.predict(texts[a:b]) if tagger else [(UNKNOWN, 0.0)] * (b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), predict, "doc_id long, lang_pred string, score double", key)
 
 
-def in_a_language(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
+def in_a_language(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` that have a language, all columns as they are; rows aren't moved.
 
     Rejected are texts that are UNKNOWN (null, or without a letter) or whose score is below ``least``.
@@ -299,12 +339,12 @@ def in_a_language(docs: DataFrame, model: Model, least: float = 0.0) -> DataFram
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = kept(key, lambda: Tagger(shared.value))
-        for batch in (part for whole in batches for part in slices_of(whole)):
+        for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             found = [p for a, b in chunks_of(texts, 1_000_000) for p in tagger.predict(texts[a:b])]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return mapped(docs, keep, docs.schema, key)
 
 
 def held_out(doc_id: Column) -> Column:

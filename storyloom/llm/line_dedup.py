@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, slices_of, table, written
+from .common import LOWER, UPPER, ascii_lower, mapped, table, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -203,14 +203,14 @@ def _by_broadcast(rows: DataFrame, index: DataFrame, n_shards: int) -> DataFrame
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = {int(r["shard"]): Shard(r) for r in shared.value}
-        for batch in (part for whole in batches for part in slices_of(whole)):
+        for batch in batches:
             counts = batch.column("at").value_lengths().to_numpy()
             at, hashes, prints = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("at", "hashes", "prints"))
             gone = _drops(hashes, prints, np.repeat(batch.column("doc_id").to_numpy(), counts), shards, n_shards)
             ends = np.cumsum(counts)
             yield _rebuilt(batch, [set(at[a:b][gone[a:b]].tolist()) for a, b in zip(ends - counts, ends, strict=True)])
 
-    return rows.mapInArrow(drop, _schema(rows))
+    return mapped(rows, drop, _schema(rows))
 
 
 def _schema(rows: DataFrame) -> str:
@@ -235,10 +235,10 @@ def _by_shards(rows: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
     both = rows.drop("at", "hashes", "prints").join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>"))).drop("row")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices_of(whole)):
+        for batch in batches:
             yield _rebuilt(batch, [set(g) for g in batch.column("gone").to_pylist()])
 
-    return both.mapInArrow(rebuild, _schema(both))
+    return mapped(both, rebuild, _schema(both))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

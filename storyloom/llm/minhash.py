@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks_of, slices_of, table, written
+from .common import chunks_of, mapped, table, without_hashes, written
 from .components import connected_components
 from .shingles import fingerprint, shingle_set
 from .sketch import might_hold, sketch_of
@@ -62,7 +62,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, node (16 bytes; null if the set is empty) and signature of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices_of(whole)):
+        for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks_of([t or "" for t in texts]):
                 sets = [shingle_set(t, width) for t in texts[a:b]]
@@ -71,7 +71,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 columns = [batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([next(rows) if len(s) else None for s in sets], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, node binary, signature array<int>")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sign, "doc_id long, n_shingles long, node binary, signature array<int>", "word hashes")
 
 
 def prefixes(nodes: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(sketch)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices_of(whole)):
+        for batch in batches:
             bits = batch.column(1).to_numpy()
             wanted = np.flatnonzero((shared.value[bits >> 5] >> (bits & 31).astype(np.uint32)) & np.uint32(1) | batch.column(0).is_null().to_numpy(zero_copy_only=False))
             texts = batch.column(2).take(pa.array(wanted)).to_pylist()
@@ -124,7 +124,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(map(fingerprint, sets), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bit.alias("bit"), "text")
-    return rows.mapInArrow(cut, "node binary, shingles binary").dropDuplicates(["node"])
+    return mapped(rows, cut, "node binary, shingles binary", "word hashes").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,24 +246,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, all columns as they are.
 
-    A table of bits of the dropped ids tells which rows might go; only those are moved, to be held against the
-    ids themselves. Rows that share a doc_id stay or go together, and so do rows without one.
+    Rows that share a doc_id stay or go together, and so do rows without one.
     """
     found = near_duplicates(docs, width, percent)
-    gone = written(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept").select(F.col("doc_id").alias("gone_id")), "dropped")
-    bits = docs.sparkSession.sparkContext.broadcast(sketch_of(gone.select(F.xxhash64("gone_id").alias("hash"))))
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.xxhash64(F.col("doc_id").cast("long")).alias("hash of the id"))
-
-    def part(doubtful: bool) -> DataFrame:
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n = batch.num_columns - 1
-                yield batch.filter(pa.array(might_hold(bits.value, batch.column(n).to_numpy()) == doubtful)).select(list(range(n)))
-
-        return rows.mapInArrow(keep, docs.schema)
-
-    held = part(True)
-    return part(False).unionByName(held.join(gone, held["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti"))
+    gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept").select(F.xxhash64("doc_id").alias("hash"), F.xxhash64(F.lit(1), "doc_id").alias("print"))
+    return without_hashes(docs, F.col("doc_id").cast("long"), gone)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,10 @@ def _mixed(h: np.ndarray, kind: int, size: int) -> np.ndarray:
     return ((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)).astype(np.int64) % size
 
 
-def hashed_features(words: list[str], size: int, grams: tuple[int, ...], affixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+def hashed_features(words: list[str], size: int, grams: tuple[int, ...], affixes: tuple[int, ...] = (), whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Features of each word, word by word, and how many each word has.
 
-    They are the word itself, its n-grams of the lengths ``grams`` and its first and last characters of
+    They are the word itself (if ``whole``), its n-grams of the lengths ``grams`` and its first and last characters of
     the lengths ``affixes``, a mark at each end of the word counted; hashed to numbers below ``size``.
     """
     codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -30,8 +30,10 @@ def hashed_features(words: list[str], size: int, grams: tuple[int, ...], affixes
         for n in range(1, max(grams + affixes) + 1):
             h = h * np.uint64(0x100000001B3) + padded[n - 1 : n - 1 + len(codes)] + np.uint64(1)
             runs[n] = h.copy()
-        power = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
-        of, ids = [np.arange(len(words))], [_mixed(np.add.reduceat(codes * power[place], starts), 1, size)]
+        of, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if whole:
+            power = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+            of, ids = [np.arange(len(words))], [_mixed(np.add.reduceat(codes * power[place], starts), 1, size)]
         for n in grams:
             at = np.flatnonzero(place + n <= sizes[owner])
             of.append(owner[at])

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks_of, slices_of, table, written
+from .common import chunks_of, mapped, table, written
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -135,7 +135,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task = encoder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in (part for whole in batches for part in slices_of(whole)):
+        for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks_of(texts):
                 ids, sizes = words.encode_ended(texts[a:b], end_id)
@@ -148,7 +148,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: i
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), *[pa.int64()] * 5], strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, f"{PIECE}, task long, rank long")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), encode, f"{PIECE}, task long, rank long", f"encoder {vocabulary}")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

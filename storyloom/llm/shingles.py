@@ -16,7 +16,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered; empties itself when it gets large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks_of, new_folder, table
+from .common import chunks_of, mapped, new_folder, table
 from .tokens import encoder
 
 BLOCK = 4096
@@ -70,36 +70,71 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, covered: float = COVERED) -
     return b"".join(parts), np.cumsum(lengths) - lengths
 
 
+def _slots(width: int) -> list[tuple[int, int]]:
+    """Word and shift of each of 64 values of ``width`` bits that lie end to end in ``width`` words of 64 bits."""
+    return [divmod(i * width, 64) for i in range(64)]
+
+
 def _low_bits(rows: np.ndarray, width: int) -> np.ndarray:
     """Each row's values at ``width`` bits, packed into bytes."""
-    kind = "<u2" if width <= 16 else "<u4"
-    as_bits = np.unpackbits(rows.astype(kind).view(np.uint8).reshape(*rows.shape, -1), axis=2, bitorder="little")[:, :, :width]
-    return np.packbits(as_bits.reshape(len(rows), -1), axis=1, bitorder="little")
+    n, columns = rows.shape
+    groups = -(-columns // 64)
+    values = np.zeros((n, groups * 64), np.uint64)
+    values[:, :columns] = rows & np.uint32((1 << width) - 1)
+    values = values.reshape(n * groups, 64).T.copy()
+    words = np.zeros((width + 1, n * groups), np.uint64)
+    for value, (word, shift) in zip(values, _slots(width), strict=True):
+        words[word] |= value << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= value >> np.uint64(64 - shift)
+    return words[:width].T.astype("<u8").reshape(n, groups * width).view(np.uint8)
+
+
+def _from_low_bits(packed: np.ndarray, width: int) -> np.ndarray:
+    """The values of rows that :func:`_low_bits` packed, in multiples of 64."""
+    n = len(packed)
+    words = packed.view("<u8").reshape(-1, width).T.copy()
+    values = np.empty((64, words.shape[1]), np.uint64)
+    for i, (word, shift) in enumerate(_slots(width)):
+        values[i] = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            values[i] |= words[word + 1] << np.uint64(64 - shift)
+    values &= np.uint64((1 << width) - 1)
+    return values.T.astype(np.uint32).reshape(n, -1)
 
 
 def read_block(payload: memoryview | bytes, start: int) -> np.ndarray:
     """The ids of the block that starts at ``start``."""
-    head = np.frombuffer(payload, HEADER, 1, start)[0]
-    n, width, exceptions = int(head["n"]), int(head["width"]), int(head["exceptions"])
-    at = start + HEADER.itemsize
-    size = -(-n * width // 8)
-    ids = np.zeros(n, np.uint32)
-    if width:
-        as_bits = np.unpackbits(np.frombuffer(payload, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-        kind = "<u2" if width <= 16 else "<u4"
-        whole = np.zeros((n, 8 * np.dtype(kind).itemsize), np.uint8)
-        whole[:, :width] = as_bits
-        ids = np.packbits(whole, axis=1, bitorder="little").view(kind).ravel().astype(np.uint32)
-    if exceptions:
-        places = np.frombuffer(payload, "<u2", exceptions, at + size)
-        high = np.frombuffer(payload, "<u4", exceptions, at + size + 2 * exceptions)
-        ids[places] |= high << np.uint32(width)
-    return ids + head["low"]
-
-
-def read_blocks(payload: bytes, starts: list[int]) -> np.ndarray:
-    """All ids of a segment."""
-    return np.concatenate([np.zeros(0, np.uint32), *(read_block(payload, s) for s in starts)])
+    return read_blocks(payload, [start])
+
+
+def read_blocks(payload: memoryview | bytes, starts: list[int]) -> np.ndarray:
+    """The ids of blocks after one another; those of one width are unpacked at once."""
+    heads = [np.frombuffer(payload, HEADER, 1, s)[0] for s in starts]
+    sizes = [int(h["n"]) for h in heads]
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+    by_width: dict[int, list[int]] = {}
+    for k, h in enumerate(heads):
+        by_width.setdefault(int(h["width"]), []).append(k)
+    for width, blocks in by_width.items():
+        values = np.zeros((len(blocks), 0), np.uint32)
+        if width:
+            packed = np.zeros((len(blocks), -(-max(sizes[k] for k in blocks) // 64) * width * 8), np.uint8)
+            for row, k in zip(packed, blocks, strict=True):
+                size = -(-sizes[k] * width // 8)
+                row[:size] = np.frombuffer(payload, np.uint8, size, starts[k] + HEADER.itemsize)
+            values = _from_low_bits(packed, width)
+        for row, k in zip(values, blocks, strict=True):
+            own = out[int(ends[k]) - sizes[k] : int(ends[k])]
+            if width:
+                own[:] = row[: sizes[k]]
+            if exceptions := int(heads[k]["exceptions"]):
+                at = starts[k] + HEADER.itemsize + -(-sizes[k] * width // 8)
+                high = np.frombuffer(payload, "<u4", exceptions, at + 2 * exceptions)
+                own[np.frombuffer(payload, "<u2", exceptions, at)] |= high << np.uint32(width)
+            own += heads[k]["low"]
+    return out
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0) -> None:
@@ -142,7 +177,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
             yield full()
 
     in_order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    in_order.mapInArrow(encode, SEGMENT).write.parquet(path)
+    mapped(in_order, encode, SEGMENT, f"encoder {vocabulary}").write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

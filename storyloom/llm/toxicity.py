@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks_of, crc_of, kept, table
+from .common import chunks_of, crc_of, kept, mapped, sample_by_hash, table
 from .ngrams import hashed_features
 
 BUCKETS = 1 << 16
@@ -205,8 +205,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     A document with two labels is toxic if one of them says so; null labels and ids are left out.
     """
     marks = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").alias("toxic"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("labelled"), "labelled"))
-    chosen = {r["labelled"]: r["toxic"] for r in marks.withColumn("r", rank).filter(F.col("r") <= sample).select("labelled", "toxic").collect()}  # 2 * sample rows at most
+    chosen = {r["id"]: r["group"] for r in sample_by_hash(marks, "toxic", "labelled", sample)}
     rows = docs.filter(F.col("doc_id").isin(list(chosen))).select(F.col("doc_id").cast("long").alias("doc_id"), "text").groupBy("doc_id").agg(F.max("text").alias("text")).orderBy("doc_id").collect() if chosen else []
     rows = [r for r in rows if r["text"]]
     return Model().fit([r["text"] for r in rows], [int(chosen[r["doc_id"]]) for r in rows])
@@ -229,7 +228,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
                 found = scorer.score(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double, predicted int")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), score, "doc_id long, score double, predicted int", key)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

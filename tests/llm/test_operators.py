@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -298,13 +299,53 @@ def test_leaks(spark):
     rows = [(1, f"{prose(50, 80)} {items[0][1].upper()} {prose(9, 81)}"), (2, f"{prose(50, 82)}\n{''.join(near)}"), (3, prose(300, 83)), (4, None), (5, ""), (6, "tiny"), (None, items[0][1])]
     for block_chars in (10_000, 100):
         found = decontaminate.find_leaks(docs_of(spark, rows), benchmark, block_chars).collect()
-        assert sorted((str(r["doc_id"]), r["item_id"], r["distance"]) for r in found) == [("1", 1, 0), ("2", 2, r_distance(found)), ("None", 1, 0)]
-    clean = decontaminate.without_leaks(docs_of(spark, rows), benchmark)
-    assert clean.columns == [c.split()[0] for c in DOCS.split(", ")]
-    assert sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 6]
+        assert sorted((str(r["doc_id"]), r["item_id"], r["distance"]) for r in found) == [("1", 1, 0), ("2", 2, r_distance(found)), ("6", 3, 0), ("None", 1, 0)]
+        clean = decontaminate.without_leaks(docs_of(spark, rows), benchmark, block_chars)
+        assert clean.columns == [c.split()[0] for c in DOCS.split(", ")]
+        assert sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5]
     assert decontaminate.find_leaks(docs_of(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def least_distance(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern):
+        last, row = row, [i + 1]
+        for j, e in enumerate(text):
+            row.append(min(last[j] + (c != e), last[j + 1] + 1, row[j] + 1))
+    return min(row)
+
+
+def test_leaks_equal_brute_force():
+    """Edited quotes of any length and place, at either end of a text, against all windows of all items."""
+    rng, n = random.Random(1), 0
+    for _ in range(60):
+        letters = "ab cdefghij"[: rng.choice([3, 6, 11])]
+        some = lambda n: "".join(rng.choice(letters) for _ in range(n))  # noqa: B023, E731
+        items = [(i, some(rng.choice([13, 14, 16, 24, 25, 39, 40, 62, 119, 120, 125, 150]))) for i in range(4)]
+        texts = []
+        for _ in range(4):
+            item = decontaminate.normal(rng.choice(items)[1])
+            at = rng.randint(0, max(0, len(item) - 120))
+            piece = list(item[at : at + rng.choice([120, 130])])
+            for _ in range(rng.randint(0, len(piece) // 12 + 1)):
+                k = rng.randrange(len(piece))
+                piece[k] = rng.choice([rng.choice(letters), "", piece[k] + rng.choice(letters)])
+            base = some(rng.randint(0, 120))
+            k = rng.randint(0, len(base))
+            texts.append(f"{base[:k]}{''.join(piece)}{base[k:]}")
+        own = {i: decontaminate.normal(t) for i, t in items if len(decontaminate.normal(t)) >= decontaminate.SHORT}
+        found = {(t, i) for t, i, *_ in decontaminate.leaks_in(texts, decontaminate.passages_of(items)) if i in own}
+        wanted = set()
+        for t, text in enumerate(map(decontaminate.normal, texts)):
+            for i, item in own.items():
+                m = min(len(item), decontaminate.WINDOW)
+                if any(least_distance(item[s : s + m], text) <= int(decontaminate.EDITS * m) for s in range(len(item) - m + 1)):
+                    wanted.add((t, i))
+        assert found == wanted
+        n += len(wanted)
+    assert n > 100
+
+
 def r_distance(found):
     return next(r["distance"] for r in found if r["item_id"] == 2)
 
