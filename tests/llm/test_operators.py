@@ -384,10 +384,53 @@ def test_main_texts_without_host_boilerplate(spark):
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_run_ranks():
-    ids = np.array([1, 2, 3, 9, 1, 2, 3, 8])
-    ranks = html_text.ranks_of_runs(ids, 3)
-    assert ranks[0] == ranks[4] and len(set(ranks.tolist())) == 7
+def test_suffix_array_equals_sorting():
+    rng = np.random.default_rng(9)
+    for n, letters in [(0, 1), (1, 1), (40, 1), (300, 2), (500, 30)]:
+        ids = rng.integers(0, letters, n)
+        order = html_text.suffix_array(ids)
+        assert order.tolist() == sorted(range(n), key=lambda i: ids[i:].tolist())  # noqa: B023
+        for k, c in enumerate(html_text.common_prefixes(ids, order)[1:].tolist(), 1):
+            x, y = ids[order[k - 1] :], ids[order[k] :]
+            m = min(len(x), len(y))
+            assert c == next((i for i in range(m) if x[i] != y[i]), m)
+
+
+def test_boilerplate_equals_brute_force():
+    """Against all substrings of all lengths."""
+    rng = np.random.default_rng(10)
+    for _ in range(15):
+        pieces = [rng.integers(0, 40, rng.integers(3, 15)).astype(np.uint32) for _ in range(4)]
+        pages = [np.concatenate([rng.integers(0, 40, 9).astype(np.uint32) if rng.random() < 0.4 else pieces[rng.integers(4)] for _ in range(5)]) for _ in range(12)]
+        distinct = list({p.tobytes(): p for p in pages}.values())
+        held = {}
+        for k, p in enumerate(distinct):
+            for a in range(len(p)):
+                for b in range(a + html_text.RUN, len(p) + 1):
+                    held.setdefault(tuple(p[a:b].tolist()), set()).add(k)
+        bad = {t for t, own in held.items() if len(own) >= html_text.pages_needed(len(t), len(distinct))}
+        runs = {t[i : i + html_text.RUN] for t in bad for i in range(len(t) - html_text.RUN + 1)}
+        wanted = sorted(int(html_text.shingle_hashes(np.array(r, np.uint64), html_text.RUN)[0]) for r in runs)
+        found = html_text.boilerplate(pages).tolist()
+        # What covers words may join two substrings; each of their own runs is found.
+        assert set(wanted) <= set(found)
+
+
+def test_boilerplate_of_hosts(spark):
+    """A host of one part and of many clean alike; unique runs stay, and so do copies that were changed here and there."""
+    menu = prose(9, 900)
+    rows = [(k, "http://a.x/p", f"<div>{menu}</div><div>{prose(30, k)}</div>") for k in range(40)]
+    rows += [(100 + k, "http://b.x/p", f"<p>{prose(60, 7)} {'x' * k} {prose(60, 8)}</p>") for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("words", F.lit(1))
+    most = html_text.PART_PAGES
+    try:
+        for html_text.PART_PAGES in (512, 12):
+            found = {r["page_id"]: r["text"] for r in html_text.main_texts(pages).collect()}
+            assert all(found[k] == prose(30, k) for k in range(40))
+            assert all(found[100 + k].split() == f"{prose(60, 7)} {'x' * k} {prose(60, 8)}".split() for k in range(12))
+    finally:
+        html_text.PART_PAGES = most
+
 
 
 # Language and toxicity
