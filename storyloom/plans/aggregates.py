@@ -74,9 +74,9 @@ def a08(spark: SparkSession, d: str) -> DataFrame:
     return c.top_terms(c.linked_with_keywords(spark, d), "entities", 5, 2, meaningful=False).select("cluster_id", t.joined(F.col("terms")).alias("terms"))
 
 
-@query("a09_source_stats", sql.ARTICLE + f" SELECT feed_id, count(*) AS n, {sql.stamp('max(published_at)')} AS last_fetched, list(publisher ORDER BY published_at DESC, id DESC)[1] AS display_name FROM article WHERE published_at >= {LAST} - INTERVAL 7 DAY GROUP BY feed_id")
+@query("a09_source_stats", sql.ARTICLE + f" SELECT feed_id, count(*) AS n, {sql.stamp('max(published_at)')} AS last_fetched, list(publisher ORDER BY published_at DESC, id DESC)[1] AS display_name FROM article WHERE published_at >= {LAST} - INTERVAL 29 DAY GROUP BY feed_id")
 def a09(spark: SparkSession, d: str) -> DataFrame:
-    recent = e.articles(spark, d).filter(F.col("published_at") >= F.lit(e.AS_OF).cast("timestamp") - F.expr("INTERVAL 7 DAYS"))
+    recent = e.articles(spark, d).filter(F.col("published_at") >= F.lit(e.AS_OF).cast("timestamp") - F.expr("INTERVAL 29 DAYS"))
     return recent.groupBy("feed_id").agg(F.count("*").alias("n"), F.date_format(F.max("published_at"), STAMP).alias("last_fetched"), F.max_by("publisher", F.struct("published_at", "id")).alias("display_name"))
 
 

@@ -9,6 +9,7 @@ from ..functions import similarity as s
 from ..functions import text as t
 from ..operators import clusters as c
 from ..sources import entries as e
+from ..sources.tables import stored
 from . import sql
 from .enrichment import E3, FOCUS_SQL, K1, K4, focus
 from .quality import judged
@@ -98,7 +99,7 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(
         F.col("id").alias("article_id"), "feed_id", F.col("published_at").alias("at"), F.col("normalized_title").alias("title"), "keywords", "entities", "primary",
         s.locations(F.col("title"), F.col("keywords"), F.col("entities")).alias("places"), s.title_tokens(F.col("normalized_title")).alias("title_tokens"),
-        s.in_title(F.col("primary"), F.col("title")).alias("title_entities"), F.lower("category").alias("topic_key"), F.array(F.lower(F.trim("publisher"))).alias("publishers"), "content_class",
+        s.in_title(F.col("primary"), F.col("title")).alias("title_entities"), F.lower("category").alias("topic_key"), F.array(F.lower(F.trim("publisher"))).alias("publishers"), "content_class", "reasons",
     )
 
 
@@ -129,10 +130,8 @@ def c13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c16_pair_evaluation")
 def c16(spark: SparkSession, d: str) -> DataFrame:
-    """Each article against its feed's stand-in cluster: scores, signals, gate, rejection, attach decision (also C01, C03, C04, C14, C15, C18)."""
-    rows = features(spark, d)
-    out = s.evaluated(rows.join(cluster_features(rows), "feed_id"))
-    return out.select("article_id", "feed_id", F.round("title_similarity", 4).alias("title_similarity"), F.round("semantic_score", 4).alias("semantic_score"), "score", "entity_overlap", "keyword_overlap", t.joined(F.col("signals")).alias("signals"), "gate", "rejection", "override", "attach")
+    """Each article against every candidate of its window: scores, signals, gate, rejection, attach decision (also C01, C03, C04, C14, C15, C18)."""
+    return all_pairs(spark, d).select("article_id", "candidate", F.round("title_similarity", 4).alias("title_similarity"), F.round("semantic_score", 4).alias("semantic_score"), "score", "entity_overlap", "keyword_overlap", t.joined(F.col("signals")).alias("signals"), "gate", "rejection", "override", "attach")
 
 
 # Themes by the words that stand for them, in the order in which they are tried.
@@ -278,11 +277,22 @@ def best_candidates(pairs: DataFrame, tie: float = s.TIE) -> DataFrame:
     return lists.select("article_id", F.aggregate(F.slice("c", 2, F.size("c")), F.col("c")[0], better).alias("best"))
 
 
+def decided(pairs: DataFrame) -> DataFrame:
+    """For each article the candidate that its decision is about: the best one that passed the gate, or else the strongest one of all."""
+    strongest = F.struct("gate", "score", "entity_overlap", "keyword_overlap", "at_", "candidate")
+    best = best_candidates(pairs).select("article_id", F.col("best.candidate").alias("of"))
+    top = pairs.groupBy("article_id").agg(F.max_by("candidate", strongest).alias("else_of"))
+    return pairs.join(top, "article_id").join(best, "article_id", "left").filter(F.col("candidate") == F.coalesce("of", "else_of")).drop("of", "else_of")
+
+
 @query("c17_best_candidate")
 def c17(spark: SparkSession, d: str) -> DataFrame:
     return best_candidates(all_pairs(spark, d)).select("article_id", F.col("best.candidate").alias("candidate"), F.col("best.score").alias("score"))
 
 
+STATUSES = ["rejected_service_finance", "low_trust_aggregator_only", "rejected_content_class_mismatch", "rejected_low_entity_overlap", "rejected_low_similarity", "rejected_stale_article", "candidate_needs_more_sources"]
+
+
 def explained(pairs: DataFrame) -> DataFrame:
     """Each pair's decision with its reason, warnings and membership status."""
     attach, over = F.col("attach"), F.col("override") & (F.col("score") < s.SCORE)
@@ -290,7 +300,8 @@ def explained(pairs: DataFrame) -> DataFrame:
     warnings = F.array_compact(F.array(F.when(attach & (F.col("score") < s.SCORE), "attached_below_score_threshold"), F.when(attach & (F.col("semantic_score") < s.TOPIC_SEMANTIC) & (F.col("title_similarity") < s.TITLE_SIGNAL) & (F.col("entity_overlap") < s.ENTITY_OVERLAP) & (F.col("keyword_overlap") < s.KEYWORD_OVERLAP), "low_semantic_score"), F.when(attach & F.col("primary_overlap") & ~F.col("title_entity_overlap"), "primary_entity_not_in_titles")))
     few = F.col("rejection").isin("missing_primary_entity_overlap", "location_conflict_without_entity_overlap", "distinct_event_signatures", "generic_keyword_only_overlap", "weak_primary_entity_context")
     status = (
-        F.when(F.col("content_class") == "service_finance", "rejected_service_finance")
+        F.when((F.col("content_class") == "service_finance") | F.array_contains("reasons", "affiliate_finance"), "rejected_service_finance")
+        .when(F.array_contains("reasons", "stale_content"), "rejected_stale_article")
         .when((F.col("content_class") == "low_trust_aggregator") | (F.col("rejection") == "low_trust_aggregator_attach_blocked"), "low_trust_aggregator_only")
         .when(F.col("rejection") == "content_class_mismatch", "rejected_content_class_mismatch")
         .when(few, "rejected_low_entity_overlap")
@@ -302,24 +313,29 @@ def explained(pairs: DataFrame) -> DataFrame:
 
 @query("c19_explanations")
 def c19(spark: SparkSession, d: str) -> DataFrame:
-    rows = features(spark, d)
-    out = explained(s.evaluated(rows.join(cluster_features(rows), "feed_id")))
-    return out.select("article_id", "feed_id", "decision", "decision_reason", t.joined(F.col("warnings")).alias("warnings"), "status")
+    out = explained(decided(all_pairs(spark, d)))
+    return out.select("article_id", "candidate", "decision", "decision_reason", t.joined(F.col("warnings")).alias("warnings"), "status")
 
 
 @query("c21_run_result")
 def c21(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of a run's decisions."""
-    rows = features(spark, d)
-    out = explained(s.evaluated(rows.join(cluster_features(rows), "feed_id")))
-    return out.agg(F.count("*").alias("evaluated"), F.count_if(~F.col("gate")).alias("signal_rejected"), F.count_if("attach").alias("attached"), F.count_if(~F.col("attach")).alias("created"), F.count_if(F.col("gate") & ~F.col("attach")).alias("low_confidence"))
+    """Counts of a run's candidates and of its decisions, one for each article that has a candidate."""
+    pairs = stored(all_pairs(spark, d), "pairs")
+    out = explained(decided(pairs))
+    counts = pairs.agg(F.count("*").alias("candidates_evaluated"), F.count_if("gate").alias("gate_passed"), F.count_if(~F.col("gate")).alias("signal_rejected"))
+    decisions = out.agg(
+        F.count("*").alias("articles"), F.count_if("attach").alias("attached"), F.count_if(~F.col("attach")).alias("created"),
+        F.count_if(F.col("gate") & ~F.col("attach")).alias("low_confidence"), F.count_if(F.col("attach") & F.col("override") & (F.col("score") < s.SCORE)).alias("overrides"),
+        F.count_if(F.size("warnings") > 0).alias("with_warnings"), F.round(F.avg("score"), 4).alias("mean_score"),
+        *(F.count_if(F.coalesce(F.col("status"), F.lit("")) == x).alias(x) for x in STATUSES),
+    )
+    return counts.join(decisions, F.lit(True))
 
 
 @query("r13_cluster_debug")
 def r13(spark: SparkSession, d: str) -> DataFrame:
     """Per cluster: mean components, decisions, warnings by frequency, flags."""
-    rows = features(spark, d)
-    out = explained(s.evaluated(rows.join(cluster_features(rows), "feed_id")))
+    out = explained(decided(all_pairs(spark, d))).withColumnRenamed("feed_id", "cluster").withColumnRenamed("candidate", "feed_id")
     means = [F.round(F.avg(x), 4).alias(x) for x in ("title_similarity", "entity_jaccard", "keyword_jaccard", "semantic_score", "time_proximity", "score")]
     stats = out.groupBy("feed_id").agg(*means, F.count_if("attach").alias("attached"), F.bool_or("gate").alias("gate_met"), F.bool_or("override").alias("override_met"))
     warned = out.select("feed_id", F.explode("warnings").alias("warning")).groupBy("feed_id", "warning").agg(F.count("*").alias("n"))

@@ -31,9 +31,9 @@ def capped(rows: DataFrame, as_of: str, lookback_hours: int, per_feed: int, max_
     return rows.filter(F.col("published_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {lookback_hours} HOURS")).filter(F.col("r") <= per_feed).drop("r")
 
 
-@query("s02_fetch", sql.ENTRY + f", r AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY published_at DESC, id) AS r FROM entry) SELECT id, feed_id FROM r WHERE r <= 5 AND published_at >= {LAST} - INTERVAL 480 HOUR")
+@query("s02_fetch", sql.ENTRY + f", r AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY published_at DESC, id) AS r FROM entry) SELECT id, feed_id FROM r WHERE r <= 5 AND published_at >= {LAST} - INTERVAL 700 HOUR")
 def s02(spark: SparkSession, d: str) -> DataFrame:
-    return capped(e.entries(spark, d), e.AS_OF, 480, 5).select("id", "feed_id")
+    return capped(e.entries(spark, d), e.AS_OF, 700, 5).select("id", "feed_id")
 
 
 @query("s03_active_feeds", f"WITH {FEED_SQL} SELECT feed_id FROM feed WHERE NOT disabled")
