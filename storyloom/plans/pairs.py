@@ -277,12 +277,17 @@ def best_candidates(pairs: DataFrame, tie: float = s.TIE) -> DataFrame:
     return lists.select("article_id", F.aggregate(F.slice("c", 2, F.size("c")), F.col("c")[0], better).alias("best"))
 
 
-def decided(pairs: DataFrame) -> DataFrame:
-    """For each article the candidate that its decision is about: the best one that passed the gate, or else the strongest one of all."""
+def choices(pairs: DataFrame) -> DataFrame:
+    """Pairs with whether an article's decision is about them: the best candidate that passed the gate, or else the strongest one of all."""
     strongest = F.struct("gate", "score", "entity_overlap", "keyword_overlap", "at_", "candidate")
     best = best_candidates(pairs).select("article_id", F.col("best.candidate").alias("of"))
     top = pairs.groupBy("article_id").agg(F.max_by("candidate", strongest).alias("else_of"))
-    return pairs.join(top, "article_id").join(best, "article_id", "left").filter(F.col("candidate") == F.coalesce("of", "else_of")).drop("of", "else_of")
+    return pairs.join(top, "article_id").join(best, "article_id", "left").withColumn("chosen", F.col("candidate") == F.coalesce("of", "else_of")).drop("of", "else_of")
+
+
+def decided(pairs: DataFrame) -> DataFrame:
+    """The pairs that decisions are about, one for each article."""
+    return choices(pairs).filter("chosen").drop("chosen")
 
 
 @query("c17_best_candidate")
@@ -320,16 +325,14 @@ def c19(spark: SparkSession, d: str) -> DataFrame:
 @query("c21_run_result")
 def c21(spark: SparkSession, d: str) -> DataFrame:
     """Counts of a run's candidates and of its decisions, one for each article that has a candidate."""
-    pairs = stored(all_pairs(spark, d), "pairs")
-    out = explained(decided(pairs))
-    counts = pairs.agg(F.count("*").alias("candidates_evaluated"), F.count_if("gate").alias("gate_passed"), F.count_if(~F.col("gate")).alias("signal_rejected"))
-    decisions = out.agg(
-        F.count("*").alias("articles"), F.count_if("attach").alias("attached"), F.count_if(~F.col("attach")).alias("created"),
-        F.count_if(F.col("gate") & ~F.col("attach")).alias("low_confidence"), F.count_if(F.col("attach") & F.col("override") & (F.col("score") < s.SCORE)).alias("overrides"),
-        F.count_if(F.size("warnings") > 0).alias("with_warnings"), F.round(F.avg("score"), 4).alias("mean_score"),
-        *(F.count_if(F.coalesce(F.col("status"), F.lit("")) == x).alias(x) for x in STATUSES),
-    )
-    return counts.join(decisions, F.lit(True))
+    out = explained(choices(stored(all_pairs(spark, d), "pairs")))
+    chosen, attach = F.col("chosen"), F.col("attach")
+    counts = {
+        "candidates_evaluated": F.lit(True), "gate_passed": F.col("gate"), "signal_rejected": ~F.col("gate"), "articles": chosen, "attached": chosen & attach, "created": chosen & ~attach,
+        "low_confidence": chosen & F.col("gate") & ~attach, "overrides": chosen & attach & F.col("override") & (F.col("score") < s.SCORE), "with_warnings": chosen & (F.size("warnings") > 0),
+        **{x: chosen & (F.coalesce("status", F.lit("")) == x) for x in STATUSES},
+    }
+    return out.agg(*(F.count_if(test).alias(name) for name, test in counts.items()))
 
 
 @query("r13_cluster_debug")
