@@ -100,3 +100,31 @@ def test_pages(spark):
     pages = pages.select("*", *(F.lit("clash").alias(c) for c in ("host", "words", "runs", "part", "n_chars")))
     assert sorted(str(r["page_id"]) for r in html_text.main_texts(pages).collect()) == ["1", "1", "2", "None"]
     assert html_text.main_texts(pages.limit(0)).count() == 0
+
+
+def test_pairs_at_the_very_similarity(spark):
+    """Sets that share 80 of 100 shingles are linked, those that share 79 of 101 aren't."""
+    rows = []
+    for k in range(40):
+        words = [f"w{k}x{i}" for i in range(93)]
+        rows.append((10 * k, " ".join(words)))
+        rows.append((10 * k + 1, " ".join([*words[:83], *(f"o{k}x{i}" for i in range(10))])))
+        words = [f"v{k}x{i}" for i in range(93)]
+        rows.append((10 * k + 2, " ".join(words)))
+        rows.append((10 * k + 3, " ".join([*words[:82], *(f"q{k}x{i}" for i in range(11))])))
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, rows), 4).collect()}
+    assert all(found[10 * k + 1] == 10 * k and found[10 * k + 3] == 10 * k + 3 for k in range(40))
+
+
+def test_near_passages_are_found(spark):
+    """Passages of 60 words, one of which is another in every copy (similarity 51/61): at least 9 of 10 are found, and texts without any stay alone."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(60):
+        passage = [f"p{k % 20}x{i}" for i in range(60)]
+        if k >= 20:
+            passage[rng.integers(8, 52)] = f"c{k}"
+        rows.append((k, f"{' '.join(f'a{k}x{i}' for i in range(80))} {' '.join(passage)} {' '.join(f'b{k}x{i}' for i in range(70))}"))
+    rows += [(100 + k, " ".join(f"z{k}x{i}" for i in range(150))) for k in range(20)]
+    found = substrings.repeated_passages(docs_of(spark, rows)).collect()
+    hit = {r["doc_id"] for r in found} | {r["other_id"] for r in found}
+    assert len(hit & set(range(60))) >= 54 and not hit & set(range(100, 120))
