@@ -45,8 +45,8 @@ def url_key(url: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """The host in lower case, without user and port."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """The host in lower case, without user, port and the brackets of an IPv6 address."""
+    return F.lower(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1), r"[\[\]]", ""))
 
 
 def is_image_url(url: Column) -> Column:
@@ -58,8 +58,12 @@ def is_public_host(host: Column) -> Column:
     is_ip = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     a, b = (F.try_element_at(F.transform(F.split(host, r"\."), lambda x: x.try_cast("int")), F.lit(k)) for k in (1, 2))
     private = (a.isin(0, 10, 127) | (a >= 224)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19))
+    # Of IPv6, 2000::/3 is public, but for what is set aside for protocols and documentation, and for tunnels.
+    first, second = F.regexp_extract(host, "^([0-9a-f]{1,4}):", 1), F.lpad(F.regexp_extract(host, "^[0-9a-f]{1,4}:([0-9a-f]{0,4})", 1), 4, "0")
+    set_aside = ((first == "2001") & ((second <= "01ff") | (second == "0db8"))) | (first == "2002") | ((first == "3fff") & (second <= "0fff"))
+    private = F.when(host.contains(":"), ~first.rlike("^[23][0-9a-f]{3}$") | set_aside).otherwise(is_ip & F.coalesce(private, F.lit(False)))
     named = (host != "") & (host != "localhost") & ~host.endswith(".localhost")
-    return F.coalesce(named & ~(is_ip & F.coalesce(private, F.lit(False))), F.lit(False))
+    return F.coalesce(named & ~private, F.lit(False))
 
 
 def safe_feed_url(url: Column) -> Column:

@@ -69,7 +69,10 @@ def headline(links: DataFrame) -> DataFrame:
     return rows.select("cluster_id", F.when(good, title).otherwise(F.concat(F.lit("Developing coverage around "), "focus", F.lit("."))).alias("headline"))
 
 
-@query("e02_summary", sql.FULL_LINK + E3 + K4 + K1 + FOCUS_SQL + FACTS_SQL + ", bits AS (SELECT f.*, focus.focus, list_concat(coalesce(e3.terms, []), list_filter(coalesce(k4.terms, []), lambda x: NOT list_contains(coalesce(e3.terms, []), x))) AS bits FROM facts f JOIN focus USING (cluster_id) LEFT JOIN e3 USING (cluster_id) LEFT JOIN k4 USING (cluster_id)) SELECT cluster_id, n || ' sources, including ' || array_to_string(list_slice(publishers, 1, 3), ', ') || ', are covering ' || CASE WHEN len(bits) > 0 THEN array_to_string(list_slice(bits, 1, 4), ', ') ELSE focus END || '. Reporting has evolved across a ' || hours || '-hour window.' AS summary FROM bits")
+SUMMARY_SQL = ", bits AS (SELECT f.*, focus.focus, list_concat(coalesce(e3.terms, []), list_filter(coalesce(k4.terms, []), lambda x: NOT list_contains(coalesce(e3.terms, []), x))) AS bits FROM facts f JOIN focus USING (cluster_id) LEFT JOIN e3 USING (cluster_id) LEFT JOIN k4 USING (cluster_id)), summ AS (SELECT cluster_id, n || ' sources, including ' || array_to_string(list_slice(publishers, 1, 3), ', ') || ', are covering ' || CASE WHEN len(bits) > 0 THEN array_to_string(list_slice(bits, 1, 4), ', ') ELSE focus END || '. Reporting has evolved across a ' || hours || '-hour window.' AS summary FROM bits)"
+
+
+@query("e02_summary", sql.FULL_LINK + E3 + K4 + K1 + FOCUS_SQL + FACTS_SQL + SUMMARY_SQL + " SELECT * FROM summ")
 def e02(spark: SparkSession, d: str) -> DataFrame:
     return summary(c.linked_with_keywords(spark, d))
 
@@ -88,11 +91,14 @@ def summary(links: DataFrame) -> DataFrame:
     return rows.select("cluster_id", F.concat(F.col("n").cast("string"), F.lit(" sources, including "), F.array_join(F.slice("publishers", 1, 3), ", "), F.lit(", are covering "), covered, F.lit(". Reporting has evolved across a "), F.col("hours").cast("string"), F.lit("-hour window.")).alias("summary"))
 
 
-@query("e03_what_changed", sql.FULL_LINK + E3 + K4 + K1 + FOCUS_SQL + FACTS_SQL + f""", tm AS (SELECT cluster_id, list(list_concat(entities, keywords) ORDER BY published_at, article_id) AS t FROM link GROUP BY cluster_id),
+CHANGED_SQL = f""", tm AS (SELECT cluster_id, list(list_concat(entities, keywords) ORDER BY published_at, article_id) AS t FROM link GROUP BY cluster_id),
 nt AS (SELECT cluster_id, string_agg(term, ', ' ORDER BY term) AS new_terms FROM (SELECT cluster_id, term, row_number() OVER (PARTITION BY cluster_id ORDER BY term) AS r FROM (SELECT DISTINCT cluster_id, t, unnest(t[len(t)]) AS term FROM tm) WHERE {MEANINGFUL} AND NOT list_contains(t[1], term)) WHERE r <= 3 GROUP BY cluster_id),
-np2 AS (SELECT cluster_id, list_slice(list_filter(publishers, lambda x: x <> first_publisher), 1, 2) AS p FROM facts)
-SELECT f.cluster_id, CASE WHEN n = 1 THEN 'Initial reporting from ' || first_publisher || ' established early coverage focused on ' || focus || '.' ELSE 'Coverage moved from the initial report by ' || first_publisher || ' to broader updates from ' || CASE WHEN len(p) > 0 THEN array_to_string(p, ', ') ELSE 'follow-up reporting' END || '. Recent articles introduced ' || coalesce(new_terms, 'additional confirmed details') || '.' END AS what_changed
-FROM facts f JOIN focus USING (cluster_id) JOIN np2 USING (cluster_id) LEFT JOIN nt USING (cluster_id)""")
+np2 AS (SELECT cluster_id, list_slice(list_filter(publishers, lambda x: x <> first_publisher), 1, 2) AS p FROM facts),
+chg AS (SELECT f.cluster_id, CASE WHEN n = 1 THEN 'Initial reporting from ' || first_publisher || ' established early coverage focused on ' || focus || '.' ELSE 'Coverage moved from the initial report by ' || first_publisher || ' to broader updates from ' || CASE WHEN len(p) > 0 THEN array_to_string(p, ', ') ELSE 'follow-up reporting' END || '. Recent articles introduced ' || coalesce(new_terms, 'additional confirmed details') || '.' END AS what_changed
+FROM facts f JOIN focus USING (cluster_id) JOIN np2 USING (cluster_id) LEFT JOIN nt USING (cluster_id))"""
+
+
+@query("e03_what_changed", sql.FULL_LINK + E3 + K4 + K1 + FOCUS_SQL + FACTS_SQL + CHANGED_SQL + " SELECT * FROM chg")
 def e03(spark: SparkSession, d: str) -> DataFrame:
     return what_changed(c.linked_with_keywords(spark, d))
 
@@ -110,7 +116,10 @@ def what_changed(links: DataFrame) -> DataFrame:
     return rows.select("cluster_id", F.when(F.col("n") == 1, one).otherwise(several).alias("what_changed"))
 
 
-@query("e04_why_it_matters", sql.FULL_LINK + E3 + K4 + K1 + FOCUS_SQL + FACTS_SQL + " SELECT cluster_id, 'This matters because ' || len(publishers) || ' publishers kept updating ' || focus || ' over ' || hours || ' hours, which indicates sustained relevance and continuing developments.' AS why_it_matters FROM facts JOIN focus USING (cluster_id)")
+MATTERS_SQL = ", mat AS (SELECT cluster_id, 'This matters because ' || len(publishers) || ' publishers kept updating ' || focus || ' over ' || hours || ' hours, which indicates sustained relevance and continuing developments.' AS why_it_matters FROM facts JOIN focus USING (cluster_id))"
+
+
+@query("e04_why_it_matters", sql.FULL_LINK + E3 + K4 + K1 + FOCUS_SQL + FACTS_SQL + MATTERS_SQL + " SELECT * FROM mat")
 def e04(spark: SparkSession, d: str) -> DataFrame:
     return why_it_matters(c.linked_with_keywords(spark, d))
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as t
 from ..functions import urls
 from ..operators import clusters as c
 from ..sources import entries as e
 from . import sql
-from .enrichment import E3, FACTS_SQL, FOCUS_SQL, K1, K4, why_it_matters
-from .quality import FEED_SQL, feeds
-from .ranking import CLUSTERS, FULL_CLUSTERS, LAST, STAMP
+from .enrichment import E3, FACTS_SQL, FOCUS_SQL, K1, K4, SUMMARY_SQL, summary
+from .quality import FEED_SQL, JUDGED_SQL, feeds, judged
+from .ranking import CLUSTER_SQL, CLUSTERS, FULL_CLUSTERS, LAST, STAMP
 from .registry import query
 
 
@@ -87,116 +86,105 @@ def r06(spark: SparkSession, d: str) -> DataFrame:
     return stories(c.linked(spark, d)).select("cluster_id", "n_sources", F.array_join("sources.url", "|").alias("urls"), "is_developing", "is_single_source")
 
 
-def snippet(text: Column, term: str, most: int = 220) -> Column:
-    """The text around the first hit, with dots where it is cut."""
-    text = F.trim(text)
-    at = F.locate(term.lower(), F.lower(text)) - 1
-    end = F.least(F.length(text), F.greatest(F.lit(0), at - most // 2) + most)
-    start = F.greatest(F.lit(0), end - most)
-    cut = F.concat(F.when(start > 0, "...").otherwise(""), F.trim(F.substr(text, start + 1, end - start)), F.when(end < F.length(text), "...").otherwise(""))
-    none = F.concat(F.rtrim(F.substr(text, F.lit(1), F.lit(most - 3))), F.lit("..."))
-    return F.when(F.length(text) <= most, text).when(at < 0, none).otherwise(cut)
-
-
-def _snippet_sql(text: str, term: str, most: int = 220) -> str:
-    text = f"trim({text})"
-    at = f"(instr(lower({text}), '{term}') - 1)"
-    end = f"least(length({text}), greatest(0, {at} - {most // 2}) + {most})"
-    start = f"greatest(0, {end} - {most})"
-    return f"CASE WHEN length({text}) <= {most} THEN {text} WHEN {at} < 0 THEN rtrim(substr({text}, 1, {most - 3})) || '...' ELSE CASE WHEN {start} > 0 THEN '...' ELSE '' END || trim(substr({text}, {start} + 1, {end} - {start})) || CASE WHEN {end} < length({text}) THEN '...' ELSE '' END END"
-
-
-@query("r09_snippets", f"SELECT doc_id, {_snippet_sql('text', 'licensed')} AS snippet FROM documents WHERE contains(lower(text), 'licensed')")
-def r09(spark: SparkSession, d: str) -> DataFrame:
-    return e.table(spark, d, "documents").filter(F.lower("text").contains("licensed")).select("doc_id", snippet(F.col("text"), "licensed").alias("snippet"))
-
-
-TERM = "the"
-
-
-def search(links: DataFrame, term: str, limit: int = 200) -> DataFrame:
-    """Results for a term: clusters, updates and sources, with the field that matched and a rank.
-
-    The newest ``limit`` visible clusters that match are looked at: that bounds a search, as readers see it.
-    """
-    rows = c.clusters(links).filter("status <> 'hidden'").join(why_it_matters(links), "cluster_id")
-    q = term.lower()
-
-    def hit(column: str) -> Column:
-        return F.lower(column).contains(q)
-
-    sources = links.select("cluster_id", "article_id", "title", "publisher")
-    own = hit("publisher") | hit("title")
-    by_source = sources.filter(own).select("cluster_id").distinct().withColumn("by_source", F.lit(True))
-    in_cluster = hit("headline") | hit("topic") | hit("why_it_matters")
-    found = rows.join(by_source, "cluster_id", "left").filter(in_cluster | F.coalesce("by_source", F.lit(False)))
-    found = found.orderBy(F.desc("last_updated"), "cluster_id").limit(limit)
-    exact = (F.lower("headline") == q) | (F.lower("topic") == q)
-    field = F.coalesce(*(F.when(hit(f), F.lit(f)) for f in ("headline", "topic", "why_it_matters")))
-    rank = F.when(exact, 100).when(hit("headline"), 92).when(hit("topic"), 88).when(hit("why_it_matters"), 72).otherwise(60)
-    none = F.lit(-1).cast("long")
-    of_cluster = found.filter(in_cluster).select("cluster_id", F.lit("cluster").alias("type"), field.alias("field"), rank.alias("rank"), none.alias("article_id"))
-    of_update = found.filter(hit("why_it_matters")).select("cluster_id", F.lit("update").alias("type"), F.lit("why_it_matters").alias("field"), F.lit(78).alias("rank"), none.alias("article_id"))
-    rank = F.when(F.lower("publisher") == q, 96).when(hit("publisher"), 90).otherwise(74)
-    of_source = found.select("cluster_id").join(sources.filter(own), "cluster_id").select("cluster_id", F.lit("source").alias("type"), F.when(hit("publisher"), "publisher").otherwise("title").alias("field"), rank.alias("rank"), "article_id")
-    return of_cluster.unionByName(of_update).unionByName(of_source)
-
-
-def _hit(column: str) -> str:
-    return f"contains(lower({column}), '{TERM}')"
-
-
-SEARCH = (
-    FULL_CLUSTERS
-    + E3
-    + K4
-    + K1
-    + FOCUS_SQL
-    + FACTS_SQL
-    + f""", sr AS (SELECT DISTINCT cluster_id FROM link WHERE {_hit('title')} OR {_hit('publisher')}),
-wm AS (SELECT k.*, 'This matters because ' || len(publishers) || ' publishers kept updating ' || focus || ' over ' || hours || ' hours, which indicates sustained relevance and continuing developments.' AS why_it_matters FROM cluster k JOIN facts USING (cluster_id) JOIN focus USING (cluster_id)),
-fd AS (SELECT * FROM wm WHERE status <> 'hidden' AND ({_hit('headline')} OR {_hit('topic')} OR {_hit('why_it_matters')} OR cluster_id IN (SELECT cluster_id FROM sr)) ORDER BY last_updated DESC, cluster_id LIMIT 200),
-res AS (SELECT cluster_id, 'cluster' AS type, CASE WHEN {_hit('headline')} THEN 'headline' WHEN {_hit('topic')} THEN 'topic' ELSE 'why_it_matters' END AS field,
-    CASE WHEN lower(headline) = '{TERM}' OR lower(topic) = '{TERM}' THEN 100 WHEN {_hit('headline')} THEN 92 WHEN {_hit('topic')} THEN 88 ELSE 72 END AS rank, CAST(-1 AS BIGINT) AS article_id FROM fd WHERE {_hit('headline')} OR {_hit('topic')} OR {_hit('why_it_matters')}
-  UNION ALL SELECT cluster_id, 'update', 'why_it_matters', 78, CAST(-1 AS BIGINT) FROM fd WHERE {_hit('why_it_matters')}
-  UNION ALL SELECT cluster_id, 'source', CASE WHEN {_hit('l.publisher')} THEN 'publisher' ELSE 'title' END, CASE WHEN lower(l.publisher) = '{TERM}' THEN 96 WHEN {_hit('l.publisher')} THEN 90 ELSE 74 END, article_id FROM fd JOIN link l USING (cluster_id) WHERE {_hit('l.title')} OR {_hit('l.publisher')})"""
-)
+_ERRORS = "CASE WHEN feed_id % 19 = 0 THEN feed_id % 4 ELSE 0 END AS error_count, CASE WHEN feed_id % 38 = 0 THEN ' timeout ' ELSE '' END AS error_message, CASE WHEN feed_id % 4 <> 3 THEN 'Group ' || feed_id % 3 END AS group_title"
+
+
+def monitored(spark: SparkSession, d: str) -> DataFrame:
+    """The feeds with their errors, group and last check."""
+    i = F.col("feed_id")
+    checked = e.table(spark, d, "events").groupBy(F.col("user_id").alias("feed_id")).agg(F.max("ts").cast("timestamp").alias("checked_at"))
+    return feeds(spark, d).join(checked, "feed_id").select(
+        "*",
+        F.when(i % 19 == 0, i % 4).otherwise(0).alias("error_count"),
+        F.when(i % 38 == 0, " timeout ").otherwise("").alias("error_message"),
+        F.when(i % 4 != 3, F.concat(F.lit("Group "), (i % 3).cast("string"))).alias("group_title"),
+    )
 
 
-@query("r07_search", SEARCH + " SELECT cluster_id, type, field, CAST(rank AS INTEGER) AS rank, article_id FROM res")
-def r07(spark: SparkSession, d: str) -> DataFrame:
-    return search(c.linked_with_keywords(spark, d), TERM)
+def _key(name: str) -> Column:
+    return F.lower(F.trim(F.coalesce(name, F.lit(""))))
 
 
-@query("r08_rank_table", SEARCH + " SELECT type, field, CAST(max(rank) AS INTEGER) AS rank FROM res GROUP BY ALL")
-def r08(spark: SparkSession, d: str) -> DataFrame:
-    return search(c.linked_with_keywords(spark, d), TERM).groupBy("type", "field").agg(F.max("rank").alias("rank"))
+def recent_names(rows: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Articles since ``days`` before ``as_of`` by name: count, last time, and the name as the newest article has it."""
+    rows = rows.filter(F.col("fetched_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+    title = F.trim(F.coalesce("feed_title", F.lit("")))
+    name = F.when(title != "", title).otherwise(F.coalesce("publisher", F.lit("")))
+    return rows.withColumn("name", name).filter("name <> ''").groupBy(_key("name").alias("key")).agg(F.count("*").alias("n"), F.max("fetched_at").alias("last_fetched_at"), F.max_by("name", F.struct("fetched_at", "id")).alias("name"))
 
 
-@query("r10_first_field", CLUSTERS + " SELECT cluster_id, CASE WHEN contains(lower(headline), 'an') THEN 'headline' WHEN contains(lower(topic), 'an') THEN 'topic' END AS field FROM cluster WHERE contains(lower(headline), 'an') OR contains(lower(topic), 'an')")
-def r10(spark: SparkSession, d: str) -> DataFrame:
-    field = F.coalesce(*(F.when(F.lower(f).contains("an"), F.lit(f)) for f in ("headline", "topic")))
-    return c.clusters(c.linked(spark, d)).select("cluster_id", field.alias("field")).filter("field IS NOT NULL")
+def source_health(feeds: DataFrame, rows: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Each feed with its group, safe address, state, errors and recent articles (by its id, else by its title), by group and name."""
+    by_feed = rows.filter(F.col("fetched_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")).groupBy("feed_id").agg(F.count("*").alias("by_feed"))
+    by_name = recent_names(rows, as_of, days).select("key", F.col("n").alias("by_name"))
+    message, n = F.trim(F.coalesce("error_message", F.lit(""))), F.coalesce("error_count", F.lit(0))
+    failed = (message != "") | (n > 0)
+    title = F.trim(F.coalesce("feed_title", F.lit("")))
+    out = feeds.join(by_feed, "feed_id", "left").withColumn("key", _key("feed_title")).join(by_name, "key", "left").select(
+        F.concat(F.lit("feed:"), F.col("feed_id").cast("string")).alias("id"),
+        F.when(title == "", "Untitled feed").otherwise(title).alias("name"),
+        urls.safe_feed_url(F.trim("feed_url")).alias("feed_url"),
+        F.when(F.trim("group_title") != "", F.trim("group_title")).alias("group"),
+        (~F.coalesce("disabled", F.lit(False))).alias("enabled"),
+        F.col("checked_at").alias("last_fetched_at"),
+        F.coalesce("by_feed", "by_name", F.lit(0)).alias("recent_article_count"),
+        F.when(failed, "error").otherwise("ok").alias("error_status"),
+        F.when(failed, F.when(message != "", message).otherwise(F.concat(n.cast("string"), F.lit(" recent parsing errors")))).alias("error_message"),
+    )
+    return out.orderBy(F.lower(F.coalesce("group", F.lit(""))), F.lower("name"), "id")
 
 
-@query("a15_search_counts", SEARCH + " SELECT count(*) FILTER (type = 'cluster') AS clusters, count(*) FILTER (type = 'update') AS updates, count(*) FILTER (type = 'source') AS sources, count(*) AS total FROM res")
-def a15(spark: SparkSession, d: str) -> DataFrame:
-    return search(c.linked_with_keywords(spark, d), TERM).agg(F.count_if(F.col("type") == "cluster").alias("clusters"), F.count_if(F.col("type") == "update").alias("updates"), F.count_if(F.col("type") == "source").alias("sources"), F.count("*").alias("total"))
+def publisher_health(rows: DataFrame, as_of: str) -> DataFrame:
+    """What is shown of sources where feeds aren't known: recent articles by name, the most first."""
+    names = recent_names(rows, as_of).filter("NOT key IN ('', 'unknown')")
+    return names.orderBy(F.desc("n"), "key").select(F.concat(F.lit("publisher:"), "key").alias("id"), "name", "last_fetched_at", F.col("n").alias("recent_article_count"))
 
 
-@query("r11_source_health", sql.ARTICLE + f", {FEED_SQL}, s AS (SELECT feed_id, count(*) AS n FROM article WHERE published_at >= {LAST} - INTERVAL 7 DAY GROUP BY feed_id) SELECT feed_id, feed_title, CASE WHEN contains(feed_url, 'news.google') THEN 'aggregator' WHEN disabled THEN 'disabled' ELSE 'ok' END AS state, coalesce(n, 0) AS recent, split_part(feed_url, '#', 1) AS url FROM feed LEFT JOIN s USING (feed_id)")
+@query("r11_source_health", sql.ARTICLE + f""", {FEED_SQL}, mon AS (SELECT *, {_ERRORS} FROM feed JOIN (SELECT user_id AS feed_id, max(ts) AS checked_at FROM events GROUP BY user_id) USING (feed_id)), s AS (SELECT feed_id, count(*) AS n FROM article WHERE published_at >= {LAST} - INTERVAL 7 DAY GROUP BY feed_id)
+SELECT 'feed:' || feed_id AS id, feed_title AS name, split_part(feed_url, '#', 1) AS feed_url, group_title AS group, NOT disabled AS enabled, {sql.stamp('checked_at')} AS last_fetched_at, coalesce(n, 0) AS recent_article_count,
+  CASE WHEN error_count > 0 OR trim(error_message) <> '' THEN 'error' ELSE 'ok' END AS error_status, CASE WHEN trim(error_message) <> '' THEN trim(error_message) WHEN error_count > 0 THEN error_count || ' recent parsing errors' END AS error_message FROM mon LEFT JOIN s USING (feed_id)""")
 def r11(spark: SparkSession, d: str) -> DataFrame:
-    recent = e.articles(spark, d).filter(F.col("published_at") >= F.lit(e.AS_OF).cast("timestamp") - F.expr("INTERVAL 7 DAYS")).groupBy("feed_id").agg(F.count("*").alias("n"))
-    state = F.when(F.col("feed_url").contains("news.google"), "aggregator").when(F.col("disabled"), "disabled").otherwise("ok")
-    return feeds(spark, d).join(recent, "feed_id", "left").select("feed_id", "feed_title", state.alias("state"), F.coalesce("n", F.lit(0)).alias("recent"), urls.safe_feed_url(F.col("feed_url")).alias("url"))
+    known = feeds(spark, d).select("feed_id", "feed_title")
+    rows = e.articles(spark, d).join(known, "feed_id", "left").withColumn("fetched_at", F.col("published_at"))
+    return source_health(monitored(spark, d), rows, e.AS_OF).withColumn("last_fetched_at", F.date_format("last_fetched_at", STAMP))
+
+
+@query("r11_publisher_health", sql.ARTICLE + f" SELECT 'publisher:' || lower(trim(publisher)) AS id, list(publisher ORDER BY published_at DESC, id DESC)[1] AS name, {sql.stamp('max(published_at)')} AS last_fetched_at, count(*) AS recent_article_count FROM article WHERE published_at >= {LAST} - INTERVAL 7 DAY GROUP BY lower(trim(publisher)) HAVING lower(trim(publisher)) NOT IN ('', 'unknown')")
+def r11_publishers(spark: SparkSession, d: str) -> DataFrame:
+    rows = e.articles(spark, d).withColumn("feed_title", F.lit(None).cast("string")).withColumn("fetched_at", F.col("published_at"))
+    return publisher_health(rows, e.AS_OF).withColumn("last_fetched_at", F.date_format("last_fetched_at", STAMP))
+
+
+_REJECTED = {"articles_rejected_stale": "stale_content", "articles_rejected_service_finance": "affiliate_finance"}
+_METRICS_SQL = (
+    JUDGED_SQL
+    + sql.LINK.removeprefix(sql.ARTICLE)
+    + CLUSTER_SQL
+    + f""", jm AS (SELECT count(*) AS articles_fetched_raw, count(DISTINCT feed_id) AS feeds_with_new_articles, count(*) FILTER (rejected) AS articles_rejected_quality, {", ".join(f"count(*) FILTER (rejected AND list_contains(reasons, '{r}')) AS {n}" for n, r in _REJECTED.items())} FROM judged),
+am AS (SELECT count(*) AS latest_articles_stored, count(DISTINCT publisher) FILTER (publisher <> 'unknown') AS active_sources, epoch_us(max(published_at)) // 1000000 AS last_ingest_time FROM article),
+fm AS (SELECT count(*) AS configured_feed_count, count(*) FILTER (NOT disabled) AS active_feed_count FROM feed),
+cm AS (SELECT count(*) FILTER (status = 'hidden') AS clusters_hidden_total, count(*) FILTER (status <> 'hidden') AS clusters_active_total, CAST(coalesce(sum(n_sources), 0) AS BIGINT) AS n FROM cluster),
+met AS (SELECT * EXCLUDE (n), articles_fetched_raw - latest_articles_stored AS latest_duplicate_articles_skipped, latest_articles_stored - n AS articles_pending_clustering FROM jm, am, fm, cm)"""
+)
+
+
+def metrics(judged_rows: DataFrame, articles: DataFrame, feeds: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(metric, value): what the latest run fetched, rejected and stored, and what is there now."""
+    rejected = {n: F.count_if(F.col("rejected") & F.array_contains("reasons", r)) for n, r in _REJECTED.items()}
+    run = judged_rows.agg(F.count("*").alias("articles_fetched_raw"), F.countDistinct("feed_id").alias("feeds_with_new_articles"), F.count_if("rejected").alias("articles_rejected_quality"), *(x.alias(n) for n, x in rejected.items()))
+    known = F.when(F.col("publisher") != "unknown", F.col("publisher"))
+    kept = articles.agg(F.count("*").alias("latest_articles_stored"), F.countDistinct(known).alias("active_sources"), F.unix_seconds(F.max("published_at")).alias("last_ingest_time"))
+    configured = feeds.agg(F.count("*").alias("configured_feed_count"), F.count_if(~F.coalesce("disabled", F.lit(False))).alias("active_feed_count"))
+    live = clusters.agg(F.count_if(F.col("status") == "hidden").alias("clusters_hidden_total"), F.count_if(F.col("status") != "hidden").alias("clusters_active_total"), F.coalesce(F.sum("n_sources"), F.lit(0)).alias("attached"))
+    one = run.join(kept).join(configured).join(live)  # one row each
+    one = one.withColumn("latest_duplicate_articles_skipped", F.col("articles_fetched_raw") - F.col("latest_articles_stored")).withColumn("articles_pending_clustering", F.col("latest_articles_stored") - F.col("attached")).drop("attached")
+    return one.unpivot([], one.columns, "metric", "value")
 
 
-@query("r14_metric_rows", CLUSTERS + " SELECT unnest(['articles', 'clusters', 'hidden', 'publishers']) AS metric, unnest([(SELECT count(*) FROM article), (SELECT count(*) FROM cluster), (SELECT count(*) FROM cluster WHERE status = 'hidden'), (SELECT count(DISTINCT publisher) FROM article)]) AS value")
+@query("r14_metric_rows", _METRICS_SQL + " SELECT metric, value FROM (UNPIVOT met ON COLUMNS(*) INTO NAME metric VALUE value)")
 def r14(spark: SparkSession, d: str) -> DataFrame:
     rows = e.articles(spark, d)
-    a = rows.agg(F.count("*").alias("articles"), F.countDistinct("publisher").alias("publishers"))
-    k = c.clusters(e.links(rows)).agg(F.count("*").alias("clusters"), F.count_if(F.col("status") == "hidden").alias("hidden"))
-    return a.unpivot([], ["articles", "publishers"], "metric", "value").unionByName(k.unpivot([], ["clusters", "hidden"], "metric", "value"))
+    return metrics(judged(spark, d), rows, feeds(spark, d), c.clusters(e.links(rows)))
 
 
 @query("r15_pipeline_status", CLUSTERS + " SELECT count(*) FILTER (status <> 'hidden') AS visible, count(*) FILTER (status = 'hidden' AND n_sources >= 2) AS candidates, count(*) FILTER (n_sources = 1) AS single FROM cluster")
@@ -205,14 +193,36 @@ def r15(spark: SparkSession, d: str) -> DataFrame:
 
 
 _AGE = f"(epoch_us({LAST}) - epoch_us(last_updated)) // 60000000"
+#: Characters of a summary in the cluster list and on the homepage.
+LIST_PREVIEW, HOME_PREVIEW = 160, 180
+
+
+def preview(text: Column, most: int, cut: int) -> Column:
+    """A trimmed text, or its first ``cut`` characters and dots where it is longer than ``most``."""
+    text = F.trim(text)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substr(text, F.lit(1), F.lit(cut))), F.lit("...")))
+
+
+def freshness(last_updated: Column, as_of: str) -> Column:
+    """How long ago, in the largest whole unit; null without a time."""
+    age = F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(last_updated)) / 60_000_000)
+    ago = lambda n, unit: F.concat(F.lit("Updated "), n.cast("long").cast("string"), F.lit(f"{unit} ago"))
+    return F.when(age < 1, "Updated just now").when(age < 60, ago(age, "m")).when(age < 1440, ago(F.floor(age / 60), "h")).when(age.isNotNull(), ago(F.floor(age / 1440), "d"))
+
+
+def _preview_sql(most: int, cut: int) -> str:
+    return f"CASE WHEN length(trim(summary)) <= {most} THEN trim(summary) ELSE rtrim(substr(trim(summary), 1, {cut})) || '...' END"
 
 
-@query("r16_list_rows", CLUSTERS + f" SELECT cluster_id, CASE WHEN length(headline) > 60 THEN rtrim(substr(headline, 1, 57)) || '...' ELSE headline END AS preview, CASE WHEN {_AGE} < 60 THEN {_AGE} || ' min' WHEN {_AGE} < 1440 THEN ({_AGE} // 60) || ' h' ELSE ({_AGE} // 1440) || ' d' END AS freshness FROM cluster")
+@query("r16_list_rows", FULL_CLUSTERS + E3 + K4 + K1 + FOCUS_SQL + FACTS_SQL + SUMMARY_SQL + f""" SELECT cluster_id, headline, topic, n_sources AS source_count, {sql.stamp('first_seen')} AS first_seen, {sql.stamp('last_updated')} AS last_updated, score, {_preview_sql(LIST_PREVIEW, LIST_PREVIEW - 3)} AS summary_preview, {_preview_sql(HOME_PREVIEW, HOME_PREVIEW - 1)} AS home_preview,
+CASE WHEN {_AGE} < 1 THEN 'Updated just now' WHEN {_AGE} < 60 THEN 'Updated ' || {_AGE} || 'm ago' WHEN {_AGE} < 1440 THEN 'Updated ' || ({_AGE} // 60) || 'h ago' ELSE 'Updated ' || ({_AGE} // 1440) || 'd ago' END AS freshness FROM cluster JOIN summ USING (cluster_id)""")
 def r16(spark: SparkSession, d: str) -> DataFrame:
-    age = F.floor((F.unix_micros(F.lit(e.AS_OF).cast("timestamp")) - F.unix_micros("last_updated")) / 60_000_000)
-    label = F.when(age < 60, F.concat(age.cast("string"), F.lit(" min"))).when(age < 1440, F.concat(F.floor(age / 60).cast("string"), F.lit(" h"))).otherwise(F.concat(F.floor(age / 1440).cast("string"), F.lit(" d")))
-    text = F.when(F.length("headline") > 60, F.concat(F.rtrim(F.substring("headline", 1, 57)), F.lit("..."))).otherwise(F.col("headline"))
-    return c.clusters(c.linked(spark, d)).select("cluster_id", text.alias("preview"), label.alias("freshness"))
+    links = c.linked_with_keywords(spark, d)
+    rows = c.clusters(links).join(summary(links), "cluster_id")
+    return rows.select(
+        "cluster_id", "headline", "topic", F.col("n_sources").alias("source_count"), F.date_format("first_seen", STAMP).alias("first_seen"), F.date_format("last_updated", STAMP).alias("last_updated"), "score",
+        preview(F.col("summary"), LIST_PREVIEW, LIST_PREVIEW - 3).alias("summary_preview"), preview(F.col("summary"), HOME_PREVIEW, HOME_PREVIEW - 1).alias("home_preview"), freshness(F.col("last_updated"), e.AS_OF).alias("freshness"),
+    )
 
 
 @query("r17_image_choice", sql.LINK + " SELECT cluster_id, list(CASE WHEN article_id % 3 = 0 THEN url END ORDER BY published_at DESC, article_id DESC) FILTER (article_id % 3 = 0)[1] AS image, count(*) - 1 AS updates FROM link GROUP BY cluster_id".replace("list(CASE WHEN article_id % 3 = 0 THEN url END ORDER BY published_at DESC, article_id DESC) FILTER (article_id % 3 = 0)[1]", "coalesce((list(url ORDER BY published_at DESC, article_id DESC) FILTER (article_id % 3 = 0))[1], 'none')"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import tables as s
@@ -79,3 +79,30 @@ def windowed(stream: DataFrame, out: str, size: str = "1 hour", late: str | None
 
     writer = counts.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", s.new_path(stream.sparkSession, "windows-log"))
     writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def silences(stream: DataFrame, key: str, out: str, gap: str, at: str = "ts", late: str | None = None) -> None:
+    """States of ``key`` (start, last, n) that end when the key is silent for longer than ``gap``.
+
+    With ``late``, for live sources, the stream keeps the open states, and writes each once its key has been silent and the watermark has
+    passed. The files of a stored table come in any order: then each batch writes its own pieces, and :func:`joined_pieces` puts them together.
+    """
+    rows = stream.withColumn(at, F.col(at).cast("timestamp"))
+
+    def states(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy(key, F.session_window(at, gap)).agg(F.min(at).alias("start"), F.max(at).alias("last"), F.count("*").alias("n"))
+        return counts.select(key, "start", "last", "n")
+
+    def write(batch: DataFrame, number: int) -> None:
+        (batch if late else states(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    drain(states(rows.withWatermark(at, late)) if late else rows, "silences", write)
+
+
+def joined_pieces(pieces: DataFrame, key: str, gap: str) -> DataFrame:
+    """Pieces of a key's states that lie within ``gap`` of one another as one state each."""
+    order = Window.partitionBy(key).orderBy("start", "last")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("start") >= before + F.expr(f"INTERVAL {gap}")).cast("int"), F.lit(1))
+    rows = pieces.withColumn("new", new).withColumn("state", F.sum("new").over(order))
+    return rows.groupBy(key, "state").agg(F.min("start").alias("start"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("state")

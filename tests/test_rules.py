@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from storyloom.functions import quality, similarity, text, urls
+from storyloom.plans import search
 from storyloom.functions.topics import quality_of, topic_of
 from storyloom.operators.graph import components
 from storyloom.plans.joins import window_candidates
@@ -52,7 +55,7 @@ def test_stale_titles(spark, title, stale):
     assert value(spark, quality.is_stale(F.lit(title), "2024-02-01 00:00:00")) is stale
 
 
-@pytest.mark.parametrize("raw, ok", [("https://8.8.8.8/f", True), ("https://192.168.1.1/f", False), ("http://localhost/f", False), ("https://u:p@a.org/f", False), ("https://a.org/f?token=x", False), ("ftp://a.org/f", False)])
+@pytest.mark.parametrize("raw, ok", [("https://8.8.8.8/f", True), ("https://192.168.1.1/f", False), ("http://localhost/f", False), ("https://u:p@a.org/f", False), ("https://a.org/f?token=x", False), ("ftp://a.org/f", False), ("https://[2606:4700::1111]/f", True), ("http://[::1]:80/f", False), ("http://[fe80::1]/f", False), ("http://[2001:db8::1]/f", False), ("http://[2001:4860::8]/f", True), ("http://[fd00::1]/f", False), ("http://[::ffff:10.0.0.1]/f", False)])
 def test_safe_feed_urls(spark, raw, ok):
     assert (value(spark, urls.safe_feed_url(F.lit(raw))) is not None) is ok
 
@@ -150,3 +153,15 @@ def test_topics(title, topic):
 def test_topics_without_help():
     assert topic_of("", "") == topic_of(None, None) == "General"
     assert quality_of("Maduro Raid") > quality_of("Iran War") > quality_of("")
+
+
+def test_search_finds_what_only_the_timeline_has(spark):
+    links = "cluster_id string, article_id long, title string, publisher string, url string, published_at timestamp, category string, normalized_title string"
+    rows = [("a", 1, "Storm over the bay", "alpha", "u1", "2024-01-01 00:00:00", "x", "storm over the bay"), ("a", 2, "Storm over the bay.", "alpha", "u2", "2024-01-01 01:00:00", "x", "storm over the bay"), ("a", 3, "Calm", "beta", "u3", "2024-01-02 00:00:00", "x", "calm")]
+    links = spark.createDataFrame([(*r[:5], datetime.fromisoformat(r[5]), *r[6:]) for r in rows], links)
+    stories = spark.createDataFrame([("a", 3, 0.5, datetime(2024, 1, 2), datetime(2024, 1, 1), "Calm", "x", "s", "w", "y", "beta")], "cluster_id string, n_sources long, score double, last_updated timestamp, first_seen timestamp, headline string, topic string, summary string, what_changed string, why_it_matters string, source_name string")
+    found = {(r["type"], r["matched_field"], r["rank"], r["id"], r["snippet"]) for r in search.search(stories, links, [" Storm "]).collect()}
+    assert found == {("cluster", "article_title", 60, "cluster:a:story", "s"), ("update", "timeline", 66, "update:a:timeline", "alpha reported: Storm over the bay."), ("source", "title", 74, "source:a:1", "Storm over the bay"), ("source", "title", 74, "source:a:2", "Storm over the bay.")}
+    assert {r["matched_field"] for r in search.search(stories, links, ["bay. storm"]).collect()} == set()
+    assert {(r["type"], r["rank"]) for r in search.search(stories, links, ["beta"]).collect()} == {("source", 96), ("update", 66)}
+    assert search.search(stories, links, [" "]).count() == 0
