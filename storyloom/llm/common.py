@@ -97,10 +97,11 @@ def kept(key: str, make: Callable[[], T]) -> T:
 BATCH_BYTES = 8 << 20
 
 
-def mapped(docs: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, keeps: str = "") -> DataFrame:
+def mapped(docs: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, keeps: str = "", rows: int = 512) -> DataFrame:
     """``mapInArrow`` for rows with texts: batches are bounded in bytes, not in rows alone, and memory goes back at the end.
 
-    ``keeps`` is the key of what the worker remembers for this function; all else is forgotten before it begins.
+    ``keeps`` is the key of what the worker remembers for this function; all else is forgotten before it begins. The
+    function gets at most ``rows`` rows at a time; 0: whole batches.
     """
     conf = docs.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
@@ -109,7 +110,7 @@ def mapped(docs: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if keeps not in _kept:
             _kept.clear()
-        yield from function(part for batch in batches for part in slices_of(batch))
+        yield from function(part for batch in batches for part in slices_of(batch, rows or max(1, batch.num_rows)))
         pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)

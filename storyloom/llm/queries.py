@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op13_bpe
 from .decontaminate import op8_benchmark_leaks
 from .html_text import op9_html_extraction
 from .language import op10_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
+    "op13_bpe": op13_bpe,
 }
 
 #: DuckDB SQL where SQL can express the operator.
