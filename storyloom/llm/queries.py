@@ -9,6 +9,7 @@ from .language import op10_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .minhash import OP2_SQL, op2_minhash_dedup
 from .packing import op5_best_fit_packing
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .substrings import op4_repeated_passages
 from .token_file import op3_token_files
 from .topk import OP6_SQL, op6_exact_top_k
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_bpe": op13_bpe,
 }
 
@@ -33,4 +35,5 @@ ORACLE = {
     "op2_minhash_dedup": OP2_SQL,
     "op6_exact_top_k": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
