@@ -14,6 +14,7 @@ from .substrings import op4_repeated_passages
 from .token_file import op3_token_files
 from .topk import OP6_SQL, op6_exact_top_k
 from .toxicity import op1_toxicity
+from .treap_search import OP11_SQL, op11_ranked_search
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
+    "op11_ranked_search": op11_ranked_search,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_bpe": op13_bpe,
 }
@@ -35,5 +37,6 @@ ORACLE = {
     "op2_minhash_dedup": OP2_SQL,
     "op6_exact_top_k": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op11_ranked_search": OP11_SQL,
     "op12_prefix_trie": OP12_SQL,
 }
