@@ -1,12 +1,12 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Texts are cut into blocks of about :data:`~storyloom.llm.common.BATCH_BYTES`. A block becomes its distinct
-words, and for each text the places of its words among them. The distinct words of all
-blocks are encoded once each; their ids come back to the blocks by a join on the word, and a
-block's texts take them up by position. Decoding looks each id up in the vocabulary's pieces.
+Texts are taken in blocks of about :data:`BLOCK_BYTES`. A block becomes its distinct
+words, and for each text the places of its words among them. In the table of all blocks' words a word's rows stand
+together, so that it is encoded once; the ids are joined back to the blocks, whose
+texts take them up by position. Decoding looks each id up in the vocabulary's pieces.
 
-What is shuffled is a row for each block and distinct word, and the packed places: no text, and no row for each
-occurrence of a word. A frequent word has one row for each block, which Spark's skew join splits.
+What is shuffled is a row for each block and distinct word, twice, and the packed places: no text, and no row for each
+occurrence of a word. A frequent word has one short row for each block, which a task takes in as a stream.
 """
 
 from __future__ import annotations
@@ -21,12 +21,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks_of, kept, mapped, table, written
+from .common import chunks_of, kept, mapped, table
 from .tokens import Encoder, Places, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
+#: Bytes of the texts that share a list of distinct words; the more they are, the fewer rows a word has.
+BLOCK_BYTES = 32 << 20
 WORDS = "block long, k int, word string"
-BLOCKS = "block long, doc_ids array<long>, counts array<int>, n long, places binary"
+#: The texts of a block are rows of the same form, after its words: ``data`` is a record batch of TEXTS.
+BLOCKS = "block long, k int, data binary"
+TEXTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int32()), ("places", pa.binary())])
+#: Stands for ``k`` in the rows of texts.
+AFTER_WORDS = 2**31 - 1
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
@@ -75,30 +81,25 @@ def words_of(vocabulary: str) -> Words:
     return kept(f"words {vocabulary}", lambda: Words(vocabulary_path(vocabulary)))
 
 
-def block_id(batch: pa.RecordBatch) -> int:
-    """A block's number, by its ids and texts: the same in a task that is run again. Equal blocks share their words."""
-    digest = blake2b(digest_size=8)
+def digest_of(batch: pa.RecordBatch, so_far: bytes) -> bytes:
+    """A digest of a batch's ids and texts and of those before it: the same in a task that is run again."""
+    digest = blake2b(so_far, digest_size=8)
     for column in batch.columns:
         for part in pc.fill_null(column, pa.scalar("" if pa.types.is_string(column.type) else 0, column.type)).buffers()[1:]:
             digest.update(memoryview(part) if part else b"")
     digest.update(repr((batch.num_rows, batch.column(0).null_count)).encode())
-    return int.from_bytes(digest.digest(), "little", signed=True)
+    return digest.digest()
 
 
-def cut_block(own: Words, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """A block's distinct words, frequent ones first; how many words each text has; their places one after another."""
-    words, counts, parts = Places(), np.zeros(len(texts), np.int64), []
+def cut_texts(own: Words, texts: list[str], words: Places) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and their places among the block's ``words``, one after another."""
+    counts, parts = np.zeros(len(texts), np.int32), [np.zeros(0, np.int32)]
     for a, b in chunks_of(texts):
         cut = [own.cut(t) for t in texts[a:b]]
         counts[a:b] = [len(c) for c in cut]
         flat = [w for c in cut for w in c]
-        parts.append(np.fromiter(map(words.__getitem__, flat), np.int64, len(flat)))
-    places = np.concatenate([np.zeros(0, np.int64), *parts])
-    order = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    names = list(words)
-    return [names[k] for k in order], counts, rank[places]
+        parts.append(np.fromiter(map(words.__getitem__, flat), np.int32, len(flat)))
+    return counts, np.concatenate(parts)
 
 
 def packed(places: np.ndarray) -> bytes:
@@ -108,79 +109,123 @@ def packed(places: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
-    """The numbers of :func:`packed`."""
+    """The ``n`` numbers of :func:`packed`."""
+    if not n:
+        return np.zeros(0, np.uint32)
     planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def _blocks(docs: DataFrame, vocabulary: str, words_only: bool) -> DataFrame:
-    """Rows of WORDS, or of BLOCKS, for the texts of ``docs``."""
+    """Rows of WORDS, or of BLOCKS, for the texts of ``docs``. A block is numbered by its ids and texts; equal blocks share their words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = words_of(vocabulary)
-        for batch in batches:
-            block = block_id(batch)
-            names, counts, places = cut_block(own, [t or "" for t in batch.column(1).to_pylist()])
+        own, words, size, digest = words_of(vocabulary), Places(), 0, b""
+        held: list[bytes] = []
+
+        def block() -> pa.RecordBatch:
+            number = int.from_bytes(digest, "little", signed=True)
             if words_only:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block)), pa.array(np.arange(len(names), dtype=np.int32)), pa.array(names, pa.string())], ["block", "k", "word"])
-            else:
-                arrays = [pa.array([block]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([len(places)]), pa.array([packed(places)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["block", "doc_ids", "counts", "n", "places"])
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number)), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(list(words), pa.string())], ["block", "k", "word"])
+            return pa.RecordBatch.from_arrays([pa.array([number] * len(held)), pa.array([AFTER_WORDS] * len(held), pa.int32()), pa.array(held, pa.binary())], ["block", "k", "data"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            counts, places = cut_texts(own, [t or "" for t in batch.column(1).to_pylist()], words)
+            digest, size = digest_of(batch, digest), size + batch.column(1).nbytes
+            if not words_only:
+                # All places of the batch stand with its first text.
+                all_ = pa.array([packed(places)] + [None] * (batch.num_rows - 1), pa.binary())
+                held.append(pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), all_], schema=TEXTS).serialize().to_pybytes())
+            if size >= BLOCK_BYTES:
+                yield block()
+                words.clear()
+                held.clear()
+                size, digest = 0, b""
+        if size:
+            yield block()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return mapped(rows, cut, WORDS if words_only else BLOCKS, f"words {vocabulary}", rows=0)
 
 
-def word_ids(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The distinct words of ``words`` and the ids of each, as little-endian unsigned 32-bit integers: word, ids."""
+def with_ids(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``words`` (WORDS) with the ids of each word, as little-endian unsigned 32-bit integers: block, k, data.
+
+    The rows of a word stand together in the table of words, one for each block that holds it, and it is encoded for all of them at once.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = words_of(vocabulary)
         for batch in batches:
-            ids, sizes = own.of_words(batch.column(0).to_pylist())
+            run = pc.run_end_encode(batch.column("word"))
+            ids, sizes = own.of_words(run.values.to_pylist())
             ends = np.concatenate([[0], np.cumsum(4 * sizes)]).astype(np.int32)
-            held = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), held], ["word", "ids"])
+            each = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+            rows = np.diff(np.concatenate([[0], run.run_ends.to_numpy()]))
+            held = each.take(pa.array(np.repeat(np.arange(len(sizes)), rows)))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("k"), held], ["block", "k", "data"])
             own.forget()
 
-    return mapped(words.select("word").distinct(), encode, "word string, ids binary", f"words {vocabulary}", rows=0)
-
-
-def joined_by_position(words: pa.Table, blocks: pa.Table) -> pa.Table:
-    """The texts of a block with the ids of their words: ``words`` has (block, k, ids), ``blocks`` BLOCKS."""
-    k, ids = words["k"].to_numpy(), words["ids"].combine_chunks()
-    n = int(k.max()) + 1 if len(k) else 0
-    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] // 4 if len(k) else np.zeros(1, np.int32)
-    flat = np.frombuffer(ids.buffers()[2], "<u4") if len(k) and ids.buffers()[2] else np.zeros(0, "<u4")
-    starts, sizes = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    starts[k], sizes[k] = ends[:-1], np.diff(ends)
-    doc_ids: list = []
-    n_tokens: list[np.ndarray] = []
-    held: list[bytes] = []
-    for row in blocks.to_pylist():
-        places = unpacked(row["places"], row["n"]) if row["n"] else np.zeros(0, np.int64)
-        if len(places) and (places.max() >= n or (starts[places] < 0).any()):
-            raise ValueError("a block's words were cut otherwise when they were read again: write the documents first")
-        bounds = np.concatenate([[0], np.cumsum(sizes[places])])[np.concatenate([[0], np.cumsum(row["counts"])]).astype(np.int64)]
-        own = flat[gathered(starts[places], sizes[places])]
-        doc_ids += row["doc_ids"]
-        n_tokens.append(np.diff(bounds))
-        held += [own[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    sizes_ = np.concatenate([np.zeros(0, np.int64), *n_tokens])
-    return pa.table([pa.array(doc_ids, pa.int64()), pa.array(sizes_), pa.array(held, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+    return mapped(words.repartition("word").sortWithinPartitions("word"), encode, BLOCKS, f"words {vocabulary}", rows=0)
+
+
+def joined_by_position(rows: DataFrame) -> DataFrame:
+    """ENCODED of ``rows``, which hold each block's words with their ids (block, k, data) and its texts (BLOCKS).
+
+    A task reads a block's words in their order, and then takes their ids up for one row of texts after another.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, k, held = None, [], []
+        starts = sizes = flat = np.zeros(0, np.int64)
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            bounds = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]])) if len(blocks) else []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if blocks[a] != block:
+                    block, k, held, flat = blocks[a], [], [], None
+                part = batch.slice(a, b - a)
+                n_words = int(np.searchsorted(part.column("k").to_numpy(), AFTER_WORDS))
+                if n_words:
+                    k.append(part.column("k").to_numpy()[:n_words])
+                    held.append(part.column("data").slice(0, n_words))
+                if n_words == b - a:
+                    continue
+                if flat is None:
+                    places = np.concatenate([np.zeros(0, np.int32), *k])
+                    first = np.flatnonzero(np.append(True, places[1:] != places[:-1]))[: len(places)]  # equal blocks have their words more than once
+                    ids = pa.chunked_array(held, pa.binary()).take(pa.array(first)).combine_chunks() if held else pa.array([], pa.binary())
+                    sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+                    flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+                    starts = np.cumsum(sizes) - sizes
+                    whole = len(first) == (int(places[-1]) + 1 if len(places) else 0)
+                    k, held = [], []
+                for data in part.column("data").slice(n_words):
+                    texts = pa.ipc.read_record_batch(data.as_buffer(), TEXTS)
+                    counts = texts.column("n_words").to_numpy()
+                    places = unpacked(texts.column("places")[0].as_py(), int(counts.sum(dtype=np.int64)))
+                    if len(places) and (not whole or places.max() >= len(sizes)):
+                        raise ValueError("a block's words were cut otherwise when they were read again: write the documents first")
+                    ends = np.concatenate([[0], np.cumsum(sizes[places])])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+                    own = flat[gathered(starts[places], sizes[places])]
+                    ids = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer((4 * ends).astype(np.int64).tobytes()), pa.py_buffer(own.tobytes())])
+                    yield pa.RecordBatch.from_arrays([texts.column("doc_id"), pa.array(np.diff(ends)), ids.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+    return rows.repartition("block").sortWithinPartitions("block", "k").mapInArrow(join, ENCODED)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Each text's token ids: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers).
 
     A row for each row of ``docs`` (doc_id, text; other columns are passed over), rows without an id and repeated ones included; null, empty
-    and blank texts have no ids. A text is never cut: a very long one is a block of its own. Strings of
+    and blank texts have no ids. A text is never cut: a very long one ends its block. Strings of
     the vocabulary's added tokens become those tokens, as in the library.
     """
-    words = written(_blocks(docs, vocabulary, True), "words")
-    ids = words.join(word_ids(words, vocabulary), "word").select("block", "k", "ids")
+    ids = with_ids(_blocks(docs, vocabulary, True), vocabulary)
     blocks = _blocks(docs, vocabulary, False)
-    return ids.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(joined_by_position, ENCODED)
+    return joined_by_position(ids.unionByName(blocks))
 
 
 class Pieces:
