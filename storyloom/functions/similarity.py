@@ -9,12 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .text import words
+
 # Words that tell no story from another.
 CLUSTER_STOPWORDS = "a an and are as at be been being blank but by com continue for from get had has have he her his href https in into is it its not of on or our said says she that the their they this to was were will with you your".split()
 GENERIC_NEWS_TERMS = "attack attacks breaking ceasefire conflict crisis details developing latest live minister new reported reporting reports story update updates war".split()
 LOCATION_TERMS = "gaza iran israel lebanon mali sahel syria ukraine yemen".split()
 ENTITY_BLOCKLIST = "accounts america april ballroom best continue deadline future latest".split()
 HARD_NEWS = ["hard_news", "politics", "local_news", "business_news", "official_release"]
+# Words that two topics may share without being about one thing.
+TOPIC_BLOCKLIST = ["analysis", "agencies", "agency", "announced", "announces", "breaking", "breaking news", "city", "commuter", "council", "department", "expand", "expanded", "expands", "feature", "group", "live", "leaders", "mayor", "news", "officials", "police", "publish", "publishes", "report", "reporting", "react", "reacts", "regional", "state", "update", "video", "world news", "eu", "u k", "u s", "uk", "un", "us"]
 # Limits of the evaluation.
 WINDOW_HOURS, TITLE_SIGNAL, ENTITY_OVERLAP, KEYWORD_OVERLAP, TOPIC_SEMANTIC, OVERRIDE_TITLE, OVERRIDE_TIME, SCORE, TIE = 72, 0.72, 1, 2, 0.38, 0.30, 0.80, 0.55, 0.02
 
@@ -79,6 +83,12 @@ def class_mismatch(a: Column, b: Column) -> Column:
     return (a != "unknown") & (b != "unknown") & (a != b) & (apart(a, b) | apart(b, a))
 
 
+def topics_match(a: Column, b: Column) -> Column:
+    """Equal keys, or a shared word that isn't blocked. ``a`` and ``b`` are lists of words."""
+    shared = F.filter(F.array_intersect(a, b), lambda x: ~x.isin(TOPIC_BLOCKLIST))
+    return (F.array_join(a, " ") == F.array_join(b, " ")) | (F.size(shared) > 0)
+
+
 @F.pandas_udf(DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two titles, 0 if one is empty."""
@@ -89,7 +99,7 @@ def evaluated(pairs):
     """Pairs with their overlaps, scores, signals, gate and the first reason against them.
 
     ``pairs`` has for an article, and with a trailing underscore for a cluster: title, keywords, entities, primary,
-    places, title_tokens, title_entities, topic_key, at, publishers and content_class.
+    places, title_tokens, title_entities, topic, at, publishers and content_class.
     """
 
     def both(name: str) -> Column:
@@ -101,7 +111,7 @@ def evaluated(pairs):
             "entity_jaccard": jaccard(F.col("entities"), F.col("entities_")),
             "keyword_jaccard": jaccard(F.col("keywords"), F.col("keywords_")),
             "time_proximity": time_proximity(F.col("at"), F.col("at_")),
-            "topic_match": F.col("topic_key") == F.col("topic_key_"),
+            "topic_match": topics_match(words(F.col("topic")), words(F.col("topic_"))),
             "mismatch": class_mismatch(F.col("content_class"), F.col("content_class_")),
             "entity_overlap": F.size(both("entities")),
             "keyword_overlap": F.size(both("keywords")),
@@ -153,5 +163,5 @@ def evaluated(pairs):
     noted = F.when(~topic & ~backstop & ~continued, "topic_mismatch").when(F.size("signals") == 0, "weak_semantic_signals")
     rows = rows.withColumn("rejection", F.coalesce(closed, noted)).withColumn("gate", gate & closed.isNull())
     kinds = F.array(*(F.lit(x) for x in ("meaningful_entity_overlap", "meaningful_keyword_overlap", "topic_semantic_similarity", "topic_title_keyword_similarity")))
-    override = F.col("gate") & close & (F.arrays_overlap("signals", kinds) | near)
+    override = F.col("gate") & (F.round(time, 4) >= OVERRIDE_TIME) & (F.arrays_overlap("signals", kinds) | near)
     return rows.withColumn("override", override).withColumn("attach", F.col("gate") & ((F.col("score") >= SCORE) | override))

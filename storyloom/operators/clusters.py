@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_meaningful
 from ..sources import entries as e
+from ..sources.tables import once
 
 #: Limits of the lifecycle (hours and counts).
 MIN_SOURCES, MIN_PUBLISHERS, STALE_HOURS, EMERGING_HOURS, EMERGING_SOURCES = 3, 2, 48, 24, 3
 
 
 def linked(spark: SparkSession, d: str) -> DataFrame:
-    return e.links(e.articles(spark, d))
+    return linked_with_keywords(spark, d).drop("keywords")
 
 
 def linked_with_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return e.links(e.with_keywords(e.articles(spark, d)))
+    return once(spark, d, "links", lambda: e.links(e.with_keywords(e.articles(spark, d))))
 
 
 def hours_between(early: Column, late: Column) -> Column:

@@ -80,23 +80,6 @@ def a09(spark: SparkSession, d: str) -> DataFrame:
     return recent.groupBy("feed_id").agg(F.count("*").alias("n"), F.date_format(F.max("published_at"), STAMP).alias("last_fetched"), F.max_by("publisher", F.struct("published_at", "id")).alias("display_name"))
 
 
-@query("a10_placeholder_clusters", CLUSTERS + " SELECT count(*) FILTER (contains(lower(headline), 'the') OR contains(lower(topic), 'pending')) AS n FROM cluster")
-def a10(spark: SparkSession, d: str) -> DataFrame:
-    found = F.lower("headline").contains("the") | F.lower("topic").contains("pending")
-    return c.clusters(c.linked(spark, d)).agg(F.count_if(found).alias("n"))
-
-
-@query("a11_active_and_hidden", CLUSTERS + " SELECT count(*) FILTER (status <> 'hidden' AND n_sources >= 3) AS active, count(*) - count(*) FILTER (status <> 'hidden' AND n_sources >= 3) AS hidden FROM cluster")
-def a11(spark: SparkSession, d: str) -> DataFrame:
-    active = F.count_if((F.col("status") != "hidden") & (F.col("n_sources") >= 3))
-    return c.clusters(c.linked(spark, d)).agg(active.alias("active"), (F.count("*") - active).alias("hidden"))
-
-
-@query("a13_decision_stats", sql.LINK + " SELECT cluster_id, count(*) FILTER (position = 1) AS seeds, count(*) FILTER (position > 1) AS attached, bool_or(similarity_score >= 0.55) AS score_met, bool_or(position > 3) AS long_chain FROM link GROUP BY cluster_id")
-def a13(spark: SparkSession, d: str) -> DataFrame:
-    return c.linked(spark, d).groupBy("cluster_id").agg(F.count_if(F.col("position") == 1).alias("seeds"), F.count_if(F.col("position") > 1).alias("attached"), F.bool_or(F.col("similarity_score") >= 0.55).alias("score_met"), F.bool_or(F.col("position") > 3).alias("long_chain"))
-
-
 # Places whose mixture in one story is worth a warning.
 LOCATION_TERMS = ["gaza", "iran", "israel", "lebanon", "mali", "sahel", "syria", "ukraine", "yemen"]
 
@@ -125,8 +108,3 @@ def a17(spark: SparkSession, d: str) -> DataFrame:
 def a18(spark: SparkSession, d: str) -> DataFrame:
     known = e.table(spark, d, "events").select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("cluster_id")).distinct()
     return known.join(c.linked(spark, d).select("cluster_id"), "cluster_id", "left_anti")
-
-
-@query("a19_status_counts", CLUSTERS + " SELECT status, count(*) AS n FROM cluster GROUP BY status")
-def a19(spark: SparkSession, d: str) -> DataFrame:
-    return c.clusters(c.linked(spark, d)).groupBy("status").agg(F.count("*").alias("n"))

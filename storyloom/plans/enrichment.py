@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -62,9 +62,14 @@ def e01(spark: SparkSession, d: str) -> DataFrame:
     return headline(c.linked_with_keywords(spark, d))
 
 
+def is_headline(title: Column) -> Column:
+    """Whether a title can stand for its cluster: three words, and not one of the texts for a missing title."""
+    return (F.size(F.split(F.trim(title), " ")) >= 3) & ~t.plain_title(title).isin("untitled article", "update")
+
+
 def headline(links: DataFrame) -> DataFrame:
     title = F.trim("title")
-    good = (F.size(F.split(title, " ")) >= 3) & ~t.plain_title(title).isin("untitled article", "update")
+    good = is_headline(title)
     rows = representative(links).join(focus(links), "cluster_id")
     return rows.select("cluster_id", F.when(good, title).otherwise(F.concat(F.lit("Developing coverage around "), "focus", F.lit("."))).alias("headline"))
 

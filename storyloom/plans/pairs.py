@@ -9,9 +9,8 @@ from ..functions import similarity as s
 from ..functions import text as t
 from ..operators import clusters as c
 from ..sources import entries as e
-from ..sources.tables import stored
 from . import sql
-from .enrichment import E3, FOCUS_SQL, K1, K4, focus
+from .enrichment import E3, FOCUS_SQL, K1, K4, focus, headline, is_headline
 from .quality import judged
 from .ranking import CLUSTERS, FULL_CLUSTERS
 from .registry import query
@@ -90,16 +89,24 @@ def c10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    """One row of features for each article, with its stand-in cluster."""
-    rows = judged(spark, d, e.with_keywords(e.articles(spark, d)))
+    """One row of features for each article."""
+    return features_of(judged(spark, d, e.with_keywords(e.articles(spark, d))))
+
+
+def features_of(rows: DataFrame) -> DataFrame:
+    """Features of judged articles (plans/quality.py). What a cluster's headline would be made of its title alone is kept as headline_title and headline_tokens."""
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("keywords", s.semantic_keywords(F.col("keywords")))
+    rows = rows.withColumn("raw_keywords", F.col("keywords")).withColumn("raw_entities", F.col("entities"))
+    rows = rows.withColumn("keywords", s.semantic_keywords(F.col("keywords"))).withColumn("own_entities", s.semantic_entities(F.col("entities")))
     rows = rows.withColumn("primary", s.primary_entities(F.col("entities"), F.coalesce("primary_entities", none)))
-    rows = rows.withColumn("entities", F.array_union(s.semantic_entities(F.col("entities")), F.transform("primary_entities", F.lower)))
+    rows = rows.withColumn("entities", F.array_union("own_entities", F.transform("primary_entities", F.lower)))
+    good = is_headline(F.col("title"))
+    made = s.title_tokens(F.array_join(F.concat(F.array(F.lit("developing coverage around")), "raw_keywords", "raw_entities"), " "))
     return rows.select(
-        F.col("id").alias("article_id"), "feed_id", F.col("published_at").alias("at"), F.col("normalized_title").alias("title"), "keywords", "entities", "primary",
+        F.col("id").alias("article_id"), F.col("published_at").alias("at"), F.col("normalized_title").alias("title"), F.col("title").alias("display"), "raw_keywords", "raw_entities", "keywords", "entities", "own_entities", "primary",
         s.locations(F.col("title"), F.col("keywords"), F.col("entities")).alias("places"), s.title_tokens(F.col("normalized_title")).alias("title_tokens"),
-        s.in_title(F.col("primary"), F.col("title")).alias("title_entities"), F.lower("category").alias("topic_key"), F.array(F.lower(F.trim("publisher"))).alias("publishers"), "content_class", "reasons",
+        s.in_title(F.col("primary"), F.col("title")).alias("title_entities"), F.col("category").alias("topic"), F.array_compact(F.array(F.nullif(F.lower(F.trim("publisher")), F.lit("")))).alias("publishers"), "content_class", "reasons", "trust",
+        F.when(good, F.col("normalized_title")).otherwise("developing coverage around").alias("headline_title"), F.when(good, s.title_tokens(F.col("normalized_title"))).otherwise(made).alias("headline_tokens"),
     )
 
 
@@ -110,28 +117,21 @@ def c11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c12_article_features")
 def c12(spark: SparkSession, d: str) -> DataFrame:
-    return features(spark, d)
-
-
-def cluster_features(rows: DataFrame) -> DataFrame:
-    """One row of features for each stand-in cluster: unions of its articles', the latest title and time, the class mode."""
-    by = F.struct("at", "article_id")
-    lists = ["keywords", "entities", "primary", "places", "publishers"]
-    counts = rows.groupBy("feed_id", "content_class").agg(F.count("*").alias("n"))
-    modes = counts.groupBy("feed_id").agg(F.max_by("content_class", F.struct("n", "content_class")).alias("content_class_"))
-    out = rows.groupBy("feed_id").agg(F.max_by("title", by).alias("title_"), F.max_by("title_tokens", by).alias("title_tokens_"), F.max_by("title_entities", by).alias("title_entities_"), F.max_by("topic_key", by).alias("topic_key_"), F.max("at").alias("at_"), *(F.array_distinct(F.flatten(F.collect_set(x))).alias(f"{x}_") for x in lists))
-    return out.join(modes, "feed_id")
+    return features(spark, d).drop("headline_title", "headline_tokens")
 
 
-@query("c13_cluster_features")
-def c13(spark: SparkSession, d: str) -> DataFrame:
-    return cluster_features(features(spark, d))
-
-
-@query("c16_pair_evaluation")
-def c16(spark: SparkSession, d: str) -> DataFrame:
-    """Each article against every candidate of its window: scores, signals, gate, rejection, attach decision (also C01, C03, C04, C14, C15, C18)."""
-    return all_pairs(spark, d).select("article_id", "candidate", F.round("title_similarity", 4).alias("title_similarity"), F.round("semantic_score", 4).alias("semantic_score"), "score", "entity_overlap", "keyword_overlap", t.joined(F.col("signals")).alias("signals"), "gate", "rejection", "override", "attach")
+def cluster_features(members: DataFrame) -> DataFrame:
+    """One row of features for each cluster_id of ``members`` (features of its articles): the headline of its representative and what it
+    names, unions of terms, the most frequent topic and class, and the latest time."""
+    order = F.struct("at", "article_id")
+    lists = {"keywords": "keywords", "entities": "own_entities", "primary": "primary", "publishers": "publishers"}
+    out = members.groupBy("cluster_id").agg(F.max("at").alias("at_"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_set(x)))).alias(f"{k}_") for k, x in lists.items()))
+    classes = members.groupBy("cluster_id", "content_class").agg(F.count("*").alias("n")).groupBy("cluster_id").agg(F.max_by("content_class", F.struct("n", "content_class")).alias("content_class_"))
+    topics = members.groupBy("cluster_id", "topic").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    topics = topics.groupBy("cluster_id").agg(F.min_by("topic", F.struct(-F.col("n"), "first", F.lower("topic"))).alias("topic_"))
+    heads = headline(members.select("cluster_id", "article_id", F.col("at").alias("published_at"), F.col("display").alias("title"), F.col("raw_keywords").alias("keywords"), F.col("raw_entities").alias("entities")))
+    out = out.join(classes, "cluster_id").join(topics, "cluster_id").join(heads, "cluster_id").withColumn("title_", t.plain_title(F.col("headline")))
+    return out.select("*", s.title_tokens(F.col("title_")).alias("title_tokens_"), s.in_title(F.col("primary_"), F.col("headline")).alias("title_entities_"), s.locations(F.col("headline"), F.col("keywords_"), F.col("entities_")).alias("places_"))
 
 
 # Themes by the words that stand for them, in the order in which they are tried.
@@ -181,21 +181,11 @@ def t03(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", out.alias("phrase"))
 
 
-# Words that two topics may share without being about one thing.
-TOPIC_BLOCKLIST = ["analysis", "agencies", "agency", "announced", "announces", "breaking", "breaking news", "city", "commuter", "council", "department", "expand", "expanded", "expands", "feature", "group", "live", "leaders", "mayor", "news", "officials", "police", "publish", "publishes", "report", "reporting", "react", "reacts", "regional", "state", "update", "video", "world news", "eu", "u k", "u s", "uk", "un", "us"]
-
-
-def topics_match(a, b):
-    """Equal keys, or a shared word that isn't blocked. ``a`` and ``b`` are lists of words."""
-    shared = F.filter(F.array_intersect(a, b), lambda x: ~x.isin(TOPIC_BLOCKLIST))
-    return (F.array_join(a, " ") == F.array_join(b, " ")) | (F.size(shared) > 0)
-
-
-@query("t09_topic_match", CLUSTERS + f", p AS (SELECT cluster_id, regexp_extract_all(lower(headline), '[a-z0-9]+') AS a, regexp_extract_all(lower(lag(headline) OVER (PARTITION BY topic ORDER BY cluster_id)), '[a-z0-9]+') AS b FROM cluster) SELECT cluster_id, array_to_string(a, ' ') = array_to_string(b, ' ') OR len(list_filter(list_intersect(a, b), lambda x: x NOT IN ({sql.listed(TOPIC_BLOCKLIST)}))) > 0 AS matches FROM p WHERE b IS NOT NULL")
+@query("t09_topic_match", CLUSTERS + f", p AS (SELECT cluster_id, regexp_extract_all(lower(headline), '[a-z0-9]+') AS a, regexp_extract_all(lower(lag(headline) OVER (PARTITION BY topic ORDER BY cluster_id)), '[a-z0-9]+') AS b FROM cluster) SELECT cluster_id, array_to_string(a, ' ') = array_to_string(b, ' ') OR len(list_filter(list_intersect(a, b), lambda x: x NOT IN ({sql.listed(s.TOPIC_BLOCKLIST)}))) > 0 AS matches FROM p WHERE b IS NOT NULL")
 def t09(spark: SparkSession, d: str) -> DataFrame:
     before = F.lag("headline").over(Window.partitionBy("topic").orderBy("cluster_id"))
     rows = c.clusters(c.linked(spark, d)).withColumn("before", before).filter("before IS NOT NULL")
-    return rows.select("cluster_id", topics_match(t.words(F.col("headline")), t.words(F.col("before"))).alias("matches"))
+    return rows.select("cluster_id", s.topics_match(t.words(F.col("headline")), t.words(F.col("before"))).alias("matches"))
 
 
 def related(clusters: DataFrame, limit: int = 4) -> DataFrame:
@@ -227,7 +217,7 @@ rp AS (SELECT a.cluster_id, b.cluster_id AS related_id, b.last_updated, CAST(len
 rs AS (SELECT *, 4 * topic + 3 * entity + keyword AS score FROM rp WHERE topic = 1 OR entity >= 1 OR keyword >= 2)"""
 
 
-@query("c22_related", FULL_CLUSTERS + E3 + K4 + K1 + FOCUS_SQL + _REL.replace("{k}", keywords_sql("keywords")).replace("{n}", entities_sql("entities")).replace("{b}", sql.listed(TOPIC_BLOCKLIST)) + " SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, entity DESC, keyword DESC, last_updated DESC, related_id DESC) AS INTEGER) AS place, related_id, score FROM rs QUALIFY place <= 4")
+@query("c22_related", FULL_CLUSTERS + E3 + K4 + K1 + FOCUS_SQL + _REL.replace("{k}", keywords_sql("keywords")).replace("{n}", entities_sql("entities")).replace("{b}", sql.listed(s.TOPIC_BLOCKLIST)) + " SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, entity DESC, keyword DESC, last_updated DESC, related_id DESC) AS INTEGER) AS place, related_id, score FROM rs QUALIFY place <= 4")
 def c22(spark: SparkSession, d: str) -> DataFrame:
     return related(_related_input(spark, d))
 
@@ -235,37 +225,29 @@ def c22(spark: SparkSession, d: str) -> DataFrame:
 def _related_input(spark: SparkSession, d: str) -> DataFrame:
     links = c.linked_with_keywords(spark, d)
     terms = links.groupBy("cluster_id").agg(*(F.array_distinct(F.flatten(F.collect_set(f(F.col(x))))).alias(x) for x, f in (("keywords", s.semantic_keywords), ("entities", s.semantic_entities))))
-    topics = F.filter(t.words(F.col("focus")), lambda x: ~x.isin(TOPIC_BLOCKLIST))
+    topics = F.filter(t.words(F.col("focus")), lambda x: ~x.isin(s.TOPIC_BLOCKLIST))
     rows = c.clusters(links).filter("status <> 'hidden'").select("cluster_id", "last_updated").join(focus(links), "cluster_id").join(terms, "cluster_id")
     return rows.select("cluster_id", "last_updated", topics.alias("topics"), "entities", "keywords")
 
 
-@query("w11_most_related", FULL_CLUSTERS + E3 + K4 + K1 + FOCUS_SQL + _REL.replace("{k}", keywords_sql("keywords")).replace("{n}", entities_sql("entities")).replace("{b}", sql.listed(TOPIC_BLOCKLIST)) + " SELECT cluster_id, list(related_id ORDER BY score DESC, entity DESC, keyword DESC, last_updated DESC, related_id DESC)[1] AS related_id FROM rs GROUP BY cluster_id")
+@query("w11_most_related", FULL_CLUSTERS + E3 + K4 + K1 + FOCUS_SQL + _REL.replace("{k}", keywords_sql("keywords")).replace("{n}", entities_sql("entities")).replace("{b}", sql.listed(s.TOPIC_BLOCKLIST)) + " SELECT cluster_id, list(related_id ORDER BY score DESC, entity DESC, keyword DESC, last_updated DESC, related_id DESC)[1] AS related_id FROM rs GROUP BY cluster_id")
 def w11(spark: SparkSession, d: str) -> DataFrame:
     return related(_related_input(spark, d), 1).select("cluster_id", "related_id")
 
 
-def all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Articles against the stand-in clusters of their publisher's and topic's window, evaluated."""
-    from .joins import window_candidates
+def best_candidates(pairs: DataFrame, tie: float = s.TIE) -> DataFrame:
+    """(article_id, best): of the candidates that pass the gate, the one that an ordered walk ends with."""
+    return walked(pairs.filter("gate"), tie)
 
-    rows = features(spark, d)
-    by_cluster = cluster_features(rows)
-    articles = rows.select(F.col("article_id").alias("id"), F.col("topic_key").alias("category"), F.col("at").alias("published_at"))
-    clusters = by_cluster.select(F.col("feed_id").alias("cluster_id"), F.col("topic_key_").alias("topic"), F.col("at_").alias("last_updated"))
-    found = window_candidates(articles, clusters).select(F.col("id").alias("article_id"), F.col("cluster_id").alias("candidate"))
-    both = found.join(rows.drop("feed_id"), "article_id").join(by_cluster, F.col("candidate") == F.col("feed_id"))
-    return s.evaluated(both)
 
-
-def best_candidates(pairs: DataFrame, tie: float = s.TIE) -> DataFrame:
-    """(article_id, best): the candidate that an ordered walk ends with.
+def walked(pairs: DataFrame, tie: float = s.TIE) -> DataFrame:
+    """(article_id, best): the candidate that an ordered walk over all of them ends with.
 
     Candidates come newest first. One takes the lead if its score is higher by more than ``tie``, or as good within
     it with more shared entities, keywords, a later time or a larger id. That isn't transitive, so it is a fold and no maximum.
     """
-    one = F.struct(F.col("at_").alias("at"), "candidate", "score", "entity_overlap", "keyword_overlap")
-    lists = pairs.filter("gate").groupBy("article_id").agg(F.sort_array(F.collect_list(one), asc=False).alias("c"))
+    one = F.struct(F.col("at_").alias("at"), "candidate", "score", "entity_overlap", "keyword_overlap", "attach")
+    lists = pairs.groupBy("article_id").agg(F.sort_array(F.collect_list(one), asc=False).alias("c"))
 
     def rank(x):
         return F.struct(x["entity_overlap"], x["keyword_overlap"], x["at"], x["candidate"])
@@ -277,76 +259,7 @@ def best_candidates(pairs: DataFrame, tie: float = s.TIE) -> DataFrame:
     return lists.select("article_id", F.aggregate(F.slice("c", 2, F.size("c")), F.col("c")[0], better).alias("best"))
 
 
-def choices(pairs: DataFrame) -> DataFrame:
-    """Pairs with whether an article's decision is about them: the best candidate that passed the gate, or else the strongest one of all."""
-    strongest = F.struct("gate", "score", "entity_overlap", "keyword_overlap", "at_", "candidate")
-    best = best_candidates(pairs).select("article_id", F.col("best.candidate").alias("of"))
-    top = pairs.groupBy("article_id").agg(F.max_by("candidate", strongest).alias("else_of"))
-    return pairs.join(top, "article_id").join(best, "article_id", "left").withColumn("chosen", F.col("candidate") == F.coalesce("of", "else_of")).drop("of", "else_of")
-
-
-def decided(pairs: DataFrame) -> DataFrame:
-    """The pairs that decisions are about, one for each article."""
-    return choices(pairs).filter("chosen").drop("chosen")
-
-
-@query("c17_best_candidate")
-def c17(spark: SparkSession, d: str) -> DataFrame:
-    return best_candidates(all_pairs(spark, d)).select("article_id", F.col("best.candidate").alias("candidate"), F.col("best.score").alias("score"))
-
-
-STATUSES = ["rejected_service_finance", "low_trust_aggregator_only", "rejected_content_class_mismatch", "rejected_low_entity_overlap", "rejected_low_similarity", "rejected_stale_article", "candidate_needs_more_sources"]
-
-
-def explained(pairs: DataFrame) -> DataFrame:
-    """Each pair's decision with its reason, warnings and membership status."""
-    attach, over = F.col("attach"), F.col("override") & (F.col("score") < s.SCORE)
-    reason = F.when(attach & over, "attached_to_existing_cluster_via_override").when(attach, "attached_to_existing_cluster").when(F.col("gate"), "best_candidate_below_score_threshold_and_no_safe_override").otherwise("strongest_candidate_failed_semantic_gate")
-    warnings = F.array_compact(F.array(F.when(attach & (F.col("score") < s.SCORE), "attached_below_score_threshold"), F.when(attach & (F.col("semantic_score") < s.TOPIC_SEMANTIC) & (F.col("title_similarity") < s.TITLE_SIGNAL) & (F.col("entity_overlap") < s.ENTITY_OVERLAP) & (F.col("keyword_overlap") < s.KEYWORD_OVERLAP), "low_semantic_score"), F.when(attach & F.col("primary_overlap") & ~F.col("title_entity_overlap"), "primary_entity_not_in_titles")))
-    few = F.col("rejection").isin("missing_primary_entity_overlap", "location_conflict_without_entity_overlap", "distinct_event_signatures", "generic_keyword_only_overlap", "weak_primary_entity_context")
-    status = (
-        F.when((F.col("content_class") == "service_finance") | F.array_contains("reasons", "affiliate_finance"), "rejected_service_finance")
-        .when(F.array_contains("reasons", "stale_content"), "rejected_stale_article")
-        .when((F.col("content_class") == "low_trust_aggregator") | (F.col("rejection") == "low_trust_aggregator_attach_blocked"), "low_trust_aggregator_only")
-        .when(F.col("rejection") == "content_class_mismatch", "rejected_content_class_mismatch")
-        .when(few, "rejected_low_entity_overlap")
-        .when(F.col("rejection").isin("weak_semantic_signals", "topic_mismatch", "story_window_expired"), "rejected_low_similarity")
-        .otherwise("candidate_needs_more_sources")
-    )
-    return pairs.withColumn("decision", F.when(attach, "attach_existing_cluster").otherwise("create_new_cluster")).withColumn("decision_reason", reason).withColumn("warnings", warnings).withColumn("status", F.when(~attach, status))
-
-
-@query("c19_explanations")
-def c19(spark: SparkSession, d: str) -> DataFrame:
-    out = explained(decided(all_pairs(spark, d)))
-    return out.select("article_id", "candidate", "decision", "decision_reason", t.joined(F.col("warnings")).alias("warnings"), "status")
-
-
-@query("c21_run_result")
-def c21(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of a run's candidates and of its decisions, one for each article that has a candidate."""
-    out = explained(choices(stored(all_pairs(spark, d), "pairs")))
-    chosen, attach = F.col("chosen"), F.col("attach")
-    counts = {
-        "candidates_evaluated": F.lit(True), "gate_passed": F.col("gate"), "signal_rejected": ~F.col("gate"), "articles": chosen, "attached": chosen & attach, "created": chosen & ~attach,
-        "low_confidence": chosen & F.col("gate") & ~attach, "overrides": chosen & attach & F.col("override") & (F.col("score") < s.SCORE), "with_warnings": chosen & (F.size("warnings") > 0),
-        **{x: chosen & (F.coalesce("status", F.lit("")) == x) for x in STATUSES},
-    }
-    return out.agg(*(F.count_if(test).alias(name) for name, test in counts.items()))
-
-
-@query("r13_cluster_debug")
-def r13(spark: SparkSession, d: str) -> DataFrame:
-    """Per cluster: mean components, decisions, warnings by frequency, flags."""
-    out = explained(decided(all_pairs(spark, d))).withColumnRenamed("feed_id", "cluster").withColumnRenamed("candidate", "feed_id")
-    means = [F.round(F.avg(x), 4).alias(x) for x in ("title_similarity", "entity_jaccard", "keyword_jaccard", "semantic_score", "time_proximity", "score")]
-    stats = out.groupBy("feed_id").agg(*means, F.count_if("attach").alias("attached"), F.bool_or("gate").alias("gate_met"), F.bool_or("override").alias("override_met"))
-    warned = out.select("feed_id", F.explode("warnings").alias("warning")).groupBy("feed_id", "warning").agg(F.count("*").alias("n"))
-    listed = warned.groupBy("feed_id").agg(F.sort_array(F.collect_list(F.struct("n", "warning")), asc=False).alias("w"))
-    return stats.join(listed, "feed_id", "left").withColumn("warnings", F.array_join(F.transform("w", lambda x: F.concat(x["warning"], F.lit(":"), x["n"].cast("string"))), "|")).drop("w")
-
-
-@query("j13_related_lookup", FULL_CLUSTERS + E3 + K4 + K1 + FOCUS_SQL + _REL.replace("{k}", keywords_sql("keywords")).replace("{n}", entities_sql("entities")).replace("{b}", sql.listed(TOPIC_BLOCKLIST)) + ", tp AS (SELECT cluster_id, related_id, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, entity DESC, keyword DESC, last_updated DESC, related_id DESC) AS place FROM rs QUALIFY place <= 4) SELECT tp.cluster_id, CAST(place AS INTEGER) AS place, headline FROM tp JOIN cluster k ON k.cluster_id = related_id")
+@query("j13_related_lookup", FULL_CLUSTERS + E3 + K4 + K1 + FOCUS_SQL + _REL.replace("{k}", keywords_sql("keywords")).replace("{n}", entities_sql("entities")).replace("{b}", sql.listed(s.TOPIC_BLOCKLIST)) + ", tp AS (SELECT cluster_id, related_id, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, entity DESC, keyword DESC, last_updated DESC, related_id DESC) AS place FROM rs QUALIFY place <= 4) SELECT tp.cluster_id, CAST(place AS INTEGER) AS place, headline FROM tp JOIN cluster k ON k.cluster_id = related_id")
 def j13(spark: SparkSession, d: str) -> DataFrame:
     headlines = c.clusters(c.linked(spark, d)).select(F.col("cluster_id").alias("related_id"), "headline")
     return related(_related_input(spark, d)).join(headlines, "related_id").select("cluster_id", "place", "headline")

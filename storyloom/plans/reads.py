@@ -240,13 +240,6 @@ def r18(spark: SparkSession, d: str) -> DataFrame:
     return nested.select("cluster_id", F.array_join(F.transform(kept, lambda x: x["title"]), "|").alias("titles"))
 
 
-@query("r19_row_flags", CLUSTERS + f" SELECT cluster_id, epoch_us({LAST}) - epoch_us(first_seen) <= 240 * 3600000000 AS recently_promoted, CASE WHEN n_sources = 1 THEN 'error' WHEN status = 'hidden' THEN 'disabled' ELSE 'enabled' END AS source_state FROM cluster")
-def r19(spark: SparkSession, d: str) -> DataFrame:
-    recent = F.unix_micros(F.lit(e.AS_OF).cast("timestamp")) - F.unix_micros("first_seen") <= 240 * 3_600_000_000
-    state = F.when(F.col("n_sources") == 1, "error").when(F.col("status") == "hidden", "disabled").otherwise("enabled")
-    return c.clusters(c.linked(spark, d)).select("cluster_id", recent.alias("recently_promoted"), state.alias("source_state"))
-
-
 @query("f09_story_filters", sql.LINK + " SELECT cluster_id, bool_or(publisher = 'src3') AS by_publisher, bool_or(url LIKE 'http%') AS image_ready FROM link WHERE category = 'click' GROUP BY cluster_id")
 def f09(spark: SparkSession, d: str) -> DataFrame:
     nested = c.linked(spark, d).filter("category = 'click'").groupBy("cluster_id").agg(F.collect_list(F.struct("publisher", "url")).alias("s"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -29,6 +31,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_once: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def once(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is derived from the tables in ``d`` and read by many queries: written by the first query of a session that needs it."""
+    key = spark.sparkContext.applicationId, d, name
+    if key not in _once or not exists(spark, _once[key][0]):
+        df = make()
+        path = new_path(spark, name)
+        df.write.parquet(path)
+        _once[key] = path, df.schema
+    path, schema = _once[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at ``path``, in whatever store it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def append_articles(rows: DataFrame, path: str) -> None:
     """Articles added to a table that is partitioned by day; ids are hashes, the same in every run."""
     rows = rows.withColumn("article_key", F.xxhash64("dedupe_hash")).withColumn("day", F.to_date("published_at"))
