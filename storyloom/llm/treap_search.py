@@ -110,9 +110,12 @@ def least_kind(x: np.ndarray) -> str:
 
 def packed_treap(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, height: int) -> dict:
     """The treap of points (no two in one place) on a grid of 2**height rows and columns, as the columns of INDEX."""
-    codes = (spread(rows) << np.uint64(1)) | spread(cols)
-    order = np.argsort(codes, kind="stable")
-    codes, values = codes[order], values[order]
+    codes = spread(rows)
+    codes <<= np.uint64(1)
+    codes |= spread(cols)
+    order = np.argsort(codes)
+    codes, values = codes[order], values[order].astype(np.int32)
+    del order
     nibbles, tops, rests, sizes = [], [], [], []
     for level in range(height + 1):
         if not len(codes):
@@ -124,7 +127,8 @@ def packed_treap(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, height:
         single = counts == 1
         sizes.append(len(starts))
         tops.append(np.maximum.reduceat(values, starts))
-        rests.append(np.where(single, codes[starts] & ((np.uint64(1) << below) - np.uint64(1)), np.uint64(0)))
+        rest = np.where(single, codes[starts] & ((np.uint64(1) << below) - np.uint64(1)), np.uint64(0))
+        rests.append(rest.astype(least_kind(rest)))
         stays = np.repeat(~single, counts)
         codes, values = codes[stays], values[stays]
         nibble = np.zeros(len(starts), np.uint8)
@@ -134,11 +138,11 @@ def packed_treap(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, height:
             parents = np.cumsum(np.append(False, firsts[1:] >> np.uint64(2) != firsts[:-1] >> np.uint64(2)))
             np.add.at(nibble, np.flatnonzero(~single)[parents], (1 << (firsts & np.uint64(3)).astype(np.uint8)).astype(np.uint8))
         nibbles.append(nibble)
-    nibble, top = np.concatenate([np.zeros(0, np.uint8), *nibbles]), np.concatenate([np.zeros(0, np.int64), *tops])
+    nibble, top = np.concatenate([np.zeros(0, np.uint8), *nibbles]), np.concatenate([np.zeros(0, np.int32), *tops])
     drop = top.copy()
     if len(top):
         drop[1:] = top[np.repeat(np.arange(len(top)), np.bitwise_count(nibble))] - top[1:]
-    rest = np.concatenate([np.zeros(0, np.uint64), *rests])
+    rest = np.concatenate([np.zeros(0, np.uint8), *rests])
     nibble = np.append(nibble, np.zeros(-len(nibble) % 16, np.uint8))
     return {
         "height": height, "level_sizes": sizes, "bits": (nibble[0::2] | (nibble[1::2] << 4)).tobytes(),
@@ -157,12 +161,12 @@ class Treap:
         pairs = np.frombuffer(row["bits"], np.uint8)
         self.nibbles = np.stack([pairs & 15, pairs >> 4], 1).ravel()[: self.n]
         self.rests = np.frombuffer(row["rests"], row["rest_kind"])
-        drops = np.frombuffer(row["drops"], row["drop_kind"]).astype(np.int64)
-        parents = np.repeat(np.arange(self.n), np.bitwise_count(self.nibbles))
-        self.tops = drops.copy()
+        drops = np.frombuffer(row["drops"], row["drop_kind"]).astype(np.int32)
+        parents = np.repeat(np.arange(self.n, dtype=np.int32), np.bitwise_count(self.nibbles))
+        self.tops = drops  # from here on: each cell's own
         start = 1
         for size in sizes[1:]:
-            self.tops[start : start + size] = self.tops[parents[start - 1 : start - 1 + size]] - drops[start : start + size]
+            self.tops[start : start + size] = self.tops[parents[start - 1 : start - 1 + size]] - self.tops[start : start + size]
             start += size
 
     def child(self, cells: np.ndarray, quadrants: np.ndarray) -> np.ndarray:
@@ -240,7 +244,7 @@ def halved(treap: Treap, r: Ranges) -> Ranges:
         cell[go] = np.where(found < 0, -2, found)
         cell[point & ((r.col >= middle[r.of]) != bool(side))] = -2
         keep = cell > -2
-        value = np.where(point, r.value, treap.tops[np.maximum(cell, 0)])
+        value = np.where(point, r.value, treap.tops[np.maximum(cell, 0)].astype(np.int64))
         parts.append(Ranges(r.item, r.level + 1, middle if side else r.start, r.bound, r.of[keep], r.row[keep], r.weight[keep], cell[keep], r.col[keep].copy(), value[keep]))
     return settled(treap, parts[0].joined(parts[1]))
 
@@ -310,22 +314,22 @@ def index(docs: DataFrame, n_docs: int, n_terms: int, block_bytes: int = BLOCK_B
 
         def block() -> pa.RecordBatch:
             doc_ids = np.concatenate(ids)
-            row, col, tf, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            row, col, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
             order = np.argsort(doc_ids, kind="stable")
-            column = np.empty(len(order), np.int64)
+            column = np.empty(len(order), np.int32)
             column[order] = np.arange(len(order))
             df = np.bincount(row, minlength=len(places))
             by_df = np.argsort(-df, kind="stable")
-            rank = np.empty(len(by_df), np.int64)
+            rank = np.empty(len(by_df), np.int32)
             rank[by_df] = np.arange(len(by_df))
             names = list(places)
             names = [names[i] for i in by_df]
             height = max(1, int(max(len(names), len(doc_ids)) - 1).bit_length())
             sizes = np.fromiter(map(len, names), np.int64, len(names))
             found = {"doc_ids": doc_ids[order].tolist(), "terms": b"".join(names), "term_sizes": sizes.astype("<u4").tobytes(), "dfs": df[by_df].astype("<u4").tobytes()}
-            found |= packed_treap(rank[row], column[col], impacts(tf, n, n_docs, n_terms), height)
+            found |= packed_treap(rank[row], column[col], value, height)
             ids.clear()
-            parts.clear()
             places.clear()
             return pa.RecordBatch.from_pylist([found], INDEX_ROWS)
 
@@ -342,9 +346,9 @@ def index(docs: DataFrame, n_docs: int, n_terms: int, block_bytes: int = BLOCK_B
                     terms = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
                     pair, tf = np.unique(np.repeat(np.arange(len(part)), n) << 40 | terms, return_counts=True)
                     doc = pair >> 40
-                    parts.append((pair & ((1 << 40) - 1), doc + held_docs, tf, n[doc]))
+                    parts.append(((pair & ((1 << 40) - 1)).astype(np.int32), (doc + held_docs).astype(np.int32), impacts(tf, n[doc], n_docs, n_terms).astype(np.int32)))
                 else:
-                    parts.append((np.zeros(0, np.int64),) * 4)
+                    parts.append((np.zeros(0, np.int32),) * 3)
                 ids.append(batch.column(0).slice(a, step).to_numpy())
                 held_docs, held_bytes = held_docs + len(part), held_bytes + sum(map(len, part))
                 if held_docs >= block_docs or held_bytes >= block_bytes:
