@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as s
 from ..functions import text as t
+from ..functions.topics import THEMES, theme, theme_phrase, with_topics
 from ..operators import clusters as c
 from ..sources import entries as e
 from . import sql
@@ -89,8 +90,9 @@ def c10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    """One row of features for each article."""
-    return features_of(judged(spark, d, e.with_keywords(e.articles(spark, d))))
+    """One row of features for each article, with the topic of its text."""
+    rows = judged(spark, d, e.with_keywords(e.articles(spark, d)))
+    return features_of(with_topics(rows.withColumn("stored_topic", F.lit(None).cast("string"))))
 
 
 def features_of(rows: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def features_of(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("id").alias("article_id"), F.col("published_at").alias("at"), F.col("normalized_title").alias("title"), F.col("title").alias("display"), "raw_keywords", "raw_entities", "keywords", "entities", "own_entities", "primary",
         s.locations(F.col("title"), F.col("keywords"), F.col("entities")).alias("places"), s.title_tokens(F.col("normalized_title")).alias("title_tokens"),
-        s.in_title(F.col("primary"), F.col("title")).alias("title_entities"), F.col("category").alias("topic"), F.array_compact(F.array(F.nullif(F.lower(F.trim("publisher")), F.lit("")))).alias("publishers"), "content_class", "reasons", "trust",
+        s.in_title(F.col("primary"), F.col("title")).alias("title_entities"), "topic", F.array_compact(F.array(F.nullif(F.lower(F.trim("publisher")), F.lit("")))).alias("publishers"), "content_class", "reasons", "trust",
         F.when(good, F.col("normalized_title")).otherwise("developing coverage around").alias("headline_title"), F.when(good, s.title_tokens(F.col("normalized_title"))).otherwise(made).alias("headline_tokens"),
     )
 
@@ -134,17 +136,6 @@ def cluster_features(members: DataFrame) -> DataFrame:
     return out.select("*", s.title_tokens(F.col("title_")).alias("title_tokens_"), s.in_title(F.col("primary_"), F.col("headline")).alias("title_entities_"), s.locations(F.col("headline"), F.col("keywords_"), F.col("entities_")).alias("places_"))
 
 
-# Themes by the words that stand for them, in the order in which they are tried.
-THEMES = [
-    ("War", "war wars battle battles conflict conflicts crisis crises hostilities strike strikes ceasefire cease-fire truce military".split()),
-    ("Files", "file files records documents transparency".split()),
-    ("Admin", "admin administration administrations".split()),
-    ("Expansion", "expand expands expanded expansion".split()),
-    ("Plan", "plan plans proposal roadmap blueprint timeline".split()),
-    ("Deal", "deal deals agreement package".split()),
-    ("Bill", "bill bills funding legislation resolution".split()),
-    ("Election", "election elections vote votes voting poll polls".split()),
-]
 _MADE = "CASE id % 6 WHEN 0 THEN title || ' war in iran' WHEN 1 THEN title || ' epstein records' WHEN 2 THEN 'Trump administration ' || title WHEN 3 THEN title || ' votes' WHEN 4 THEN title || ' deal' ELSE title END"
 
 
@@ -154,14 +145,6 @@ def _made(spark: SparkSession, d: str) -> DataFrame:
     return e.entries(spark, d).select("id", t.words(made).alias("w"))
 
 
-def theme(words):
-    """The first theme that one of the words stands for, '' without one."""
-    out = F.lit("")
-    for name, marks in reversed(THEMES):
-        out = F.when(F.arrays_overlap(words, t.texts(marks)), name).otherwise(out)
-    return out
-
-
 _WORDS = f"regexp_extract_all(lower({_MADE}), '[a-z0-9]+')"
 _THEME = "CASE " + " ".join(f"WHEN list_has_any(w, [{sql.listed(m)}]) THEN '{n}'" for n, m in THEMES) + " ELSE '' END"
 
@@ -173,12 +156,7 @@ def t02(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t03_theme_phrase", sql.ENTRY + f", w AS (SELECT id, {_WORDS} AS w FROM entry), h AS (SELECT *, {_THEME} AS theme FROM w) SELECT id, CASE WHEN theme = 'War' AND list_contains(w, 'iran') THEN 'Iran War' WHEN theme = 'War' AND list_contains(w, 'ukraine') THEN 'Ukraine War' WHEN theme = 'War' AND list_contains(w, 'israel') THEN 'Israel War' WHEN theme = 'Files' AND list_contains(w, 'epstein') THEN 'Epstein Files' WHEN theme = 'Admin' AND list_contains(w, 'trump') THEN 'Trump Admin' ELSE theme END AS phrase FROM h")
 def t03(spark: SparkSession, d: str) -> DataFrame:
-    rows = _made(spark, d).withColumn("theme", theme(F.col("w")))
-    out = F.col("theme")
-    # Names that make a phrase with a theme, the first one first.
-    for of, name in reversed([("War", "Iran"), ("War", "Ukraine"), ("War", "Israel"), ("Files", "Epstein"), ("Admin", "Trump")]):
-        out = F.when((F.col("theme") == of) & F.array_contains("w", name.lower()), f"{name} {of}").otherwise(out)
-    return rows.select("id", out.alias("phrase"))
+    return _made(spark, d).select("id", theme_phrase(theme(F.col("w")), F.col("w")).alias("phrase"))
 
 
 @query("t09_topic_match", CLUSTERS + f", p AS (SELECT cluster_id, regexp_extract_all(lower(headline), '[a-z0-9]+') AS a, regexp_extract_all(lower(lag(headline) OVER (PARTITION BY topic ORDER BY cluster_id)), '[a-z0-9]+') AS b FROM cluster) SELECT cluster_id, array_to_string(a, ' ') = array_to_string(b, ' ') OR len(list_filter(list_intersect(a, b), lambda x: x NOT IN ({sql.listed(s.TOPIC_BLOCKLIST)}))) > 0 AS matches FROM p WHERE b IS NOT NULL")

@@ -95,7 +95,8 @@ def judge(a, c):
     semantic = 0.5 * title + 0.3 * jaccard("entities") + 0.2 * jaccard("keywords")
     score = round(0.45 * title + 0.25 * jaccard("entities") + 0.2 * jaccard("keywords") + 0.1 * time, 4)
     ents, keys, place = len(both("entities")), len(both("keywords")), len(both("places"))
-    topic = a["topic"] == c["topic"] or bool(set(a["topic"].lower().split()) & set(c["topic"].lower().split()) - set(s.TOPIC_BLOCKLIST))
+    topics = [re.findall("[a-z0-9]+", x["topic"].lower()) for x in (a, c)]
+    topic = topics[0] == topics[1] or bool(set(topics[0]) & set(topics[1]) - set(s.TOPIC_BLOCKLIST))
     near, primary, in_titles, close, similar = title >= 0.72, bool(both("primary")), bool(both("title_entities")), time >= 0.8, semantic >= 0.38
     words = len(both("title_tokens"))
     backstop = (ents >= 2 or (ents and place)) and title >= 0.3
