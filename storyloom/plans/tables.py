@@ -9,6 +9,7 @@ from ..functions import urls
 from ..operators import clusters as c
 from ..sources import entries as e
 from ..sources import tables as s
+from ..sources.versions import Table
 from . import sql
 from .normalize import image_of
 from .quality import FEED_SQL, feeds
@@ -57,23 +58,32 @@ def s06(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s07_cluster_upsert", CLUSTERS + " SELECT cluster_id, CASE WHEN CAST(substr(cluster_id, 2) AS BIGINT) % 3 = 0 THEN n_sources ELSE 0 END AS n_sources FROM cluster")
 def s07(spark: SparkSession, d: str) -> DataFrame:
+    """Rebuilt clusters put into a stored table, in the place of the old ones."""
     rows = c.clusters(c.linked(spark, d)).select("cluster_id", "n_sources")
-    old = s.stored(rows.select("cluster_id", F.lit(0).cast("long").alias("n_sources")), "clusters")
-    return s.upserted(old, rows.filter(F.substring("cluster_id", 2, 20).cast("long") % 3 == 0), "cluster_id")
+    stored = Table(spark, s.new_path(spark, "clusters"), "cluster_id")
+    stored.append(rows.select("cluster_id", F.lit(0).cast("long").alias("n_sources")))
+    stored.upsert(rows.filter(F.substring("cluster_id", 2, 20).cast("long") % 3 == 0))
+    return stored.read()
 
 
 @query("s08_timeline_replace", sql.LINK + " SELECT cluster_id, article_id FROM link WHERE feed_id % 2 = 1 OR position <= 2")
 def s08(spark: SparkSession, d: str) -> DataFrame:
+    """The timelines of touched clusters in a stored table, made anew."""
     links = c.linked(spark, d)
-    old = s.stored(links.select("cluster_id", "article_id"), "timeline")
+    stored = Table(spark, s.new_path(spark, "timeline"), "cluster_id")
+    stored.append(links.select("cluster_id", "article_id"))
     touched = links.filter("feed_id % 2 = 0")
-    return s.replaced(old, touched.filter("position <= 2").select("cluster_id", "article_id"), touched, "cluster_id")
+    stored.replace(touched.filter("position <= 2").select("cluster_id", "article_id"), touched)
+    return stored.read()
 
 
 @query("s09_purge", sql.ARTICLE + " SELECT id FROM article WHERE NOT (starts_with(canonical_url, 'https://m.') OR publisher = 'src9' OR starts_with(dedupe_hash, '0'))")
 def s09(spark: SparkSession, d: str) -> DataFrame:
-    rows = e.articles(spark, d)
-    return s.purged(rows, F.col("canonical_url").startswith("https://m."), F.col("publisher") == "src9", F.col("dedupe_hash").startswith("0")).select("id")
+    """Articles purged from a stored table by address, publisher and hash."""
+    stored = Table(spark, s.new_path(spark, "articles"), "id")
+    stored.append(e.articles(spark, d).select("id", "canonical_url", "publisher", "dedupe_hash"))
+    stored.purge(F.col("canonical_url").startswith("https://m."), F.col("publisher") == "src9", F.col("dedupe_hash").startswith("0"))
+    return stored.read().select("id")
 
 
 @query("s10_sample_reset", sql.ARTICLE + f", sm AS (SELECT DISTINCT {sql.canonical('url')} AS u FROM entry WHERE id % 4 = 0) SELECT id FROM article WHERE canonical_url NOT IN (SELECT u FROM sm)")

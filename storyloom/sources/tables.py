@@ -1,4 +1,4 @@
-"""Stored tables as Parquet: append, upsert, replace, purge."""
+"""Folders that executors share, and tables written once; tables that change are in versions.py."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -56,20 +56,3 @@ def append_articles(rows: DataFrame, path: str) -> None:
     """Articles added to a table that is partitioned by day; ids are hashes, the same in every run."""
     rows = rows.withColumn("article_key", F.xxhash64("dedupe_hash")).withColumn("day", F.to_date("published_at"))
     rows.write.mode("append").partitionBy("day").parquet(path)
-
-
-def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New rows, and the old ones whose key isn't among them."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
-
-
-def replaced(old: DataFrame, new: DataFrame, touched: DataFrame, key: str) -> DataFrame:
-    """All rows of touched keys replaced by the new ones, which may be none."""
-    return old.join(touched.select(key).distinct(), key, "left_anti").unionByName(new)
-
-
-def purged(rows: DataFrame, *tests: Column) -> DataFrame:
-    """Rows that meet none of the tests."""
-    for test in tests:
-        rows = rows.filter(~F.coalesce(test, F.lit(False)))
-    return rows

@@ -253,3 +253,16 @@ def test_promotion_follows_the_states(spark):
     rows = [("1#1", ["few"], None), ("1#2", ["few"], "short"), ("1#3", [], None), ("1#4", ["stale"], None), ("1#5", ["stale"], None), ("2#1", ["few"], None)]
     found = {(r["cluster_id"], r["n"]): (r["attempted"], r["promoted"]) for r in clustering.promotions(spark.createDataFrame(rows, "cluster_id string, blockers array<string>, validation_error string")).collect()}
     assert found == {("1", 1): (False, False), ("1", 2): (True, False), ("1", 3): (True, True), ("1", 4): (False, False), ("1", 5): (True, False), ("2", 1): (False, False)}
+
+
+def test_a_stream_closes_the_clusters_of_the_run(spark):
+    """What the stream gives out is each cluster's first and last time and number of articles."""
+    from storyloom.plans.streams import x04_closing
+
+    d = "/root/testdata/sf0.001"
+    rows, members, _ = clustering.run(spark, d)
+    at, groups = {r["article_id"]: r["at"] for r in rows.select("article_id", "at").collect()}, {}
+    for k, c in found_of(members).items():
+        groups.setdefault(str(c), []).append(at[k])
+    found = {r["cluster_id"]: (r["start"], r["last"], r["n"]) for r in x04_closing(spark, d).collect()}
+    assert found == {c: (f"{min(t):%Y-%m-%d %H:%M:%S}", f"{max(t):%Y-%m-%d %H:%M:%S}", len(t)) for c, t in groups.items()}
