@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import clusters as c
+from ..operators.ranks import ranked
 from ..sources import entries as e
 from . import sql
 from .quality import JUDGED_SQL, FEED_SQL, feeds, judged
@@ -107,13 +108,19 @@ def w10(spark: SparkSession, d: str) -> DataFrame:
     return e.articles(spark, d).orderBy(F.desc("published_at"), F.desc("id")).offset(40).limit(20).select("id", "title")
 
 
-@query("w14_story_sorts", CLUSTERS + " SELECT cluster_id, CAST(row_number() OVER (ORDER BY score DESC, last_updated DESC, cluster_id) AS INTEGER) AS top_rank, CAST(row_number() OVER (ORDER BY last_updated DESC, score DESC, cluster_id) AS INTEGER) AS latest_rank FROM cluster WHERE status <> 'hidden' ORDER BY top_rank LIMIT 50")
+_DEVELOPING = f"(status = 'emerging' OR (n_sources >= 2 AND epoch_us({LAST}) - epoch_us(last_updated) <= 24 * 3600000000))"
+
+
+@query("w14_story_sorts", CLUSTERS + f" SELECT cluster_id, row_number() OVER (ORDER BY score DESC, last_updated DESC, cluster_id) AS top_rank, row_number() OVER (ORDER BY last_updated DESC, score DESC, cluster_id) AS latest_rank, row_number() OVER (ORDER BY {_DEVELOPING} DESC, last_updated DESC, score DESC, cluster_id) AS developing_rank FROM cluster WHERE status <> 'hidden'")
 def w14(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.clusters(c.linked(spark, d)).filter("status <> 'hidden'")
-    latest = Window.orderBy(F.desc("last_updated"), F.desc("score"), "cluster_id")
-    top = Window.orderBy(F.desc("score"), F.desc("last_updated"), "cluster_id")
-    ranked = rows.select("cluster_id", F.row_number().over(top).alias("top_rank"), F.row_number().over(latest).alias("latest_rank"))
-    return ranked.filter("top_rank <= 50")
+    """All shown clusters by score, by time, and with the developing ones first."""
+    rows = c.clusters(c.linked(spark, d)).filter("status <> 'hidden'").select("cluster_id", "score", "last_updated", "status", "n_sources")
+    fresh = F.unix_micros(F.lit(e.AS_OF).cast("timestamp")) - F.unix_micros("last_updated") <= 24 * 3_600_000_000
+    rows = rows.withColumn("is_developing", (F.col("status") == "emerging") | ((F.col("n_sources") >= 2) & fresh))
+    score, updated, id_ = F.desc("score"), F.desc("last_updated"), F.asc("cluster_id")
+    for name, order in (("top_rank", [score, updated, id_]), ("latest_rank", [updated, score, id_]), ("developing_rank", [F.desc("is_developing"), updated, score, id_])):
+        rows = ranked(rows, order, name)
+    return rows.select("cluster_id", "top_rank", "latest_rank", "developing_rank")
 
 
 @query("w15_sections", CLUSTERS + ", t AS (SELECT cluster_id, row_number() OVER (ORDER BY score DESC, last_updated DESC, cluster_id) AS r FROM cluster WHERE status <> 'hidden'), dv AS (SELECT cluster_id, row_number() OVER (ORDER BY last_updated DESC, score DESC, cluster_id) AS r FROM cluster WHERE status <> 'hidden' AND cluster_id NOT IN (SELECT cluster_id FROM t WHERE r <= 4)) SELECT cluster_id, CASE WHEN r = 1 THEN 'lead' ELSE 'supporting' END AS section FROM t WHERE r <= 4 UNION ALL SELECT cluster_id, 'developing' FROM dv WHERE r <= 4")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import quality, similarity, text, urls
 from storyloom.plans import search
+from storyloom.operators.ranks import ranked
 from storyloom.functions.topics import quality, with_topics
 from storyloom.operators.graph import components
 from storyloom.plans.joins import window_candidates
@@ -173,3 +174,16 @@ def test_search_finds_what_only_the_timeline_has(spark):
     assert {r["matched_field"] for r in search.search(stories, links, ["bay. storm"]).collect()} == set()
     assert {(r["type"], r["rank"]) for r in search.search(stories, links, ["beta"]).collect()} == {("source", 96), ("update", 66)}
     assert search.search(stories, links, [" "]).count() == 0
+
+
+def test_ranks_over_many_parts(spark):
+    """Ranks run on from part to part, of which some are empty."""
+    rows = spark.range(1000).withColumn("x", F.col("id") * 37 % 101).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r["id"]: r["rank"] for r in ranked(rows, [F.desc("x"), F.asc("id")], "rank").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = sorted(range(1000), key=lambda i: (-(i * 37 % 101), i))
+    assert [found[i] for i in expected] == list(range(1, 1001))
+    assert ranked(rows.limit(0), [F.asc("id")], "rank").count() == 0
