@@ -12,6 +12,7 @@ import pytest
 
 from storyloom.functions import similarity as s
 from storyloom.functions import text as t
+from storyloom.operators.clustering import slices_of
 from storyloom.plans import clustering
 from storyloom.plans.clustering import incremental, live_clusters, reclustered
 
@@ -194,12 +195,24 @@ def stories(seed, n, hours):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "n", "hours", "slice_hours"), [(1, 45, 60, 72), (3, 30, 100, 60)])
-def test_equals_one_article_after_another(spark, seed, n, hours, slice_hours):
+def test_slices_of(spark):
+    """Whole steps of time, as many as hold no more than the articles allowed, without gaps that lose an article."""
+    at = [datetime(2024, 1, 1) + timedelta(hours=h) for h in (0, 1, 5, 9, 10, 40, 41, 42)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(at)] + [(99, None)], "article_id long, at timestamp")
+    for most, n in ((0, 4), (4, 3), (6, 2), (100, 1)):
+        found = slices_of(rows, 6, most)
+        assert len(found) == n
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+        assert all(sum(a <= x < b for a, b in found) == 1 for x in at)
+    assert slices_of(rows.limit(0), 6, 4) == []
+
+
+@pytest.mark.parametrize(("seed", "n", "hours", "slice_hours", "slice_articles"), [(1, 45, 60, 72, 1000), (3, 30, 100, 60, 0)])
+def test_equals_one_article_after_another(spark, seed, n, hours, slice_hours, slice_articles):
     rows = stories(seed, n, hours)
     expected = one_by_one(rows)
     assert len(set(expected.values())) < n - 3
-    assert found_of(incremental(spark.createDataFrame(rows, SCHEMA).repartition(1 + seed), slice_hours=slice_hours)[0]) == expected
+    assert found_of(incremental(spark.createDataFrame(rows, SCHEMA).repartition(1 + seed), slice_hours=slice_hours, slice_articles=slice_articles)[0]) == expected
 
 
 def test_run_of_the_tables_equals_one_article_after_another(spark):
