@@ -1,4 +1,4 @@
-"""What a session needs for the queries: this package where Spark runs Python, and expressions that are built fast."""
+"""What a session needs for the queries: this package where Spark runs Python."""
 
 from __future__ import annotations
 
@@ -10,15 +10,11 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
-#: With it, PySpark notes the line of code of each step of each expression, which takes most of the time to build the long ones.
-NOTES_LINES = "spark.python.sql.dataFrameDebugging.enabled"
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors' Python unless they find it by themselves; lines of code are noted only if the session was asked to."""
-    if spark.sparkContext.getConf().get(NOTES_LINES) is None:
-        spark.conf.set(NOTES_LINES, "false")
+    """Send the package to the executors' Python unless they find it by themselves."""
     on_path = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     app = spark.sparkContext.applicationId
     if app not in _sent and not any(p and os.path.realpath(p) == str(ROOT) for p in on_path):
