@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BEFORE, AFTER, squeeze
+from .text import AFTER, BEFORE, any_of_re2, as_re2, squeeze
 from .urls import host_of
 
 # Offers of financial services.
@@ -75,8 +75,8 @@ REASONS = ["stale_content", "affiliate_finance", "service_journalism", "low_trus
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
-    """Whether one of the patterns is found, in any case."""
-    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    """Whether one of the patterns is found, in any case; each of them begins with \\b."""
+    return text.rlike(any_of_re2(patterns))
 
 
 def contains_any(text: Column, tokens: list[str]) -> Column:
@@ -90,12 +90,12 @@ def is_stale(title: Column, as_of: str) -> Column:
     """Whether a title names a year or a month before ``as_of``."""
     year, month = int(as_of[:4]), int(as_of[5:7])
     text = F.lower(title)
-    stale = F.exists(F.regexp_extract_all(text, F.lit(r"\b(20[0-9]{2})\b"), 1), lambda y: y.cast("int") < year)
+    stale = F.exists(F.regexp_extract_all(text, F.lit(as_re2(r"\b(20[0-9]{2})\b")), 1), lambda y: y.cast("int") < year)
     for number, name in enumerate(MONTHS, 1):
-        dated = F.regexp_extract(text, rf"\b{name}\s+(20[0-9]{{2}})\b", 1)
+        dated = F.regexp_extract(text, as_re2(rf"\b{name}\s+(20[0-9]{{2}})\b"), 1)
         of_year = dated.try_cast("int")
         old = (of_year < year) | ((of_year == year) & F.lit(number < month))
-        alone = text.rlike(rf"\b(?:of|in)\s+{name}\b|\b{name}\s+\d{{1,2}}\b") & F.lit(number < month)
+        alone = text.rlike(as_re2(rf"\b(?:of|in)\s+{name}\b|\b{name}\s+\d{{1,2}}\b")) & F.lit(number < month)
         stale = stale | F.when(dated != "", old).otherwise(alone)
     return stale
 
@@ -113,7 +113,7 @@ def is_generic(entity: Column) -> Column:
 
 def robust_entities(text: Column) -> Column:
     """Names in order of first sight whatever their case, without generic ones."""
-    known = F.array_compact(F.array(*(F.when(text.rlike(rf"(?i){BEFORE}{n}{AFTER}"), F.lit(n)) for n in PUBLIC_FIGURES + LOCATIONS)))
+    known = F.array_compact(F.array(*(F.when(text.rlike(as_re2(rf"\b{n}\b", True)), F.lit(n)) for n in PUBLIC_FIGURES + LOCATIONS)))
     found = F.regexp_extract_all(text, F.lit(rf"({BEFORE}[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){{1,3}}{AFTER})"), 1)
     names = F.filter(F.transform(F.concat(known, found), squeeze), lambda x: ~is_generic(x))
     seen = F.transform(names, F.lower)
