@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from storyloom.operators import clusters as c
 from storyloom.plans.lifecycle import clusters_before, judged_links, rebuilt
 
@@ -32,3 +33,9 @@ def test_rebuilt_is_a_join_of_stored_tables(spark):
     assert plan.count("Join ") <= 3 and plan.count("Window ") == 0
     assert rows.filter("n_sources > 0").count() == c.linked(spark, D).select("cluster_id").distinct().count()
     assert rows.filter(F.col("summary").isNull() & (F.col("n_sources") > 0)).isEmpty()
+
+
+def test_states_are_told_once(spark):
+    """What isn't public is told from the state itself: one join of the blockers and the errors, each of which is made once."""
+    rows = queries()["j12_not_public"](spark, D)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
