@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from storyloom.functions import quality as q
 from storyloom.operators import clusters as c
 from storyloom.plans.lifecycle import clusters_before, judged_links, rebuilt
 
@@ -39,3 +40,19 @@ def test_states_are_told_once(spark):
     """What isn't public is told from the state itself: one join of the blockers and the errors, each of which is made once."""
     rows = queries()["j12_not_public"](spark, D)
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_controls_are_joined_before_texts(spark):
+    """Feeds' controls are joined to places, so that texts go through one join; an annotated entry's patterns aren't asked again by a filter."""
+    plan = queries()["f04_annotated"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    joins = [i for i, x in enumerate(lines) if "Join " in x]
+    text = next(i for i, x in enumerate(lines) if "text#" in x and "Relation" in x)
+    assert sum(i < text for i in joins) == 1
+    assert not [x for x in lines if "Filter" in x and "RLIKE" in x.upper()]
+
+
+def test_names_once(spark):
+    """Known names in any case, of equal names the first, generic ones not."""
+    rows = spark.createDataFrame([("donald trump met Joe Biden and Joe Biden in Latest News, JOE BIDEN",), ("nothing here",), (None,)], "x string")
+    assert [r["n"] for r in rows.select(q.robust_entities(F.col("x")).alias("n")).collect()][:2] == [["Donald Trump", "Joe Biden"], []]
