@@ -272,6 +272,24 @@ def test_repeated_passages_that_no_hub_has(spark):
     assert {(50, 51), (50, 52), (51, 52)} <= {tuple(sorted((r["doc_id"], r["other_id"]))) for r in found}
 
 
+def test_passages_of_all_different_texts(spark):
+    """Texts that share a passage with a third one are held against each other too; a text over again is told once, and a line over and over costs no pair of places."""
+    passage = prose(80, 31).split()
+    rows = []
+    for k in range(6):
+        own = list(passage)
+        own[8 + 2 * k] = f"changed{k}"
+        rows.append((k, f"{prose(70, 100 + k)} {' '.join(own)} {prose(70, 200 + k)}"))
+    rows += [(10, rows[2][1]), (11, rows[2][1]), (20, "only a few words"), (21, "only a few words")]
+    lines = f"{prose(9, 500)} " * 300
+    rows += [(30, f"{prose(60, 300)} {lines}"), (31, f"{lines}{prose(60, 301)}")]
+    found = substrings.repeated_passages(docs_of(spark, rows)).collect()
+    pairs = {(r["doc_id"], r["other_id"]) for r in found}
+    assert pairs == {(a, b) for a in range(6) for b in range(a)} | {(10, 2), (11, 2), (31, 30)}
+    assert all(r["n_words"] == r["other_n_words"] == 220 and r["similarity"] == 1.0 for r in found if r["doc_id"] in (10, 11))
+    assert any(r["n_words"] >= 2690 and r["other_n_words"] >= 2690 for r in found if r["doc_id"] == 31)
+
+
 def test_passages_by_diagonal():
     rng = np.random.default_rng(6)
     new = lambda n: rng.integers(1, 2**32, n).astype(np.uint32)
