@@ -33,6 +33,8 @@ TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 IN_TERM = np.array([bool(TERM.match(bytes([b]))) for b in range(256)])
 #: Bytes of text, and documents, of a block.
 BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 8192
+#: Bytes of a block's row from which it is read by itself.
+ROW_BYTES = 1 << 20
 #: Characters of items that are searched for in one pass over the index.
 PASS_CHARS = 4_000_000
 #: Items searched for together, and ranges of each that are halved at a time.
@@ -357,7 +359,7 @@ def index(docs: DataFrame, n_docs: int, n_terms: int, block_bytes: int = BLOCK_B
         if held_docs:
             yield block()
 
-    return written(mapped(rows_of(docs), build, INDEX, "treaps", rows=0), "treaps")
+    return written(mapped(rows_of(docs), build, INDEX, "treaps", rows=0), "treaps", ROW_BYTES)
 
 
 INDEX_ROWS = pa.schema([(n, {"array<long>": pa.list_(pa.int64()), "binary": pa.binary(), "int": pa.int32(), "string": pa.string()}[t]) for n, t in (c.split() for c in INDEX.split(", "))])

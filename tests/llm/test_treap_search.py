@@ -110,3 +110,15 @@ def test_equals_sql(spark):
     for name in ("documents", "benchmark"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.01/{name}.parquet'")
     assert found_of(treap_search.op11_ranked_search(spark, "/root/testdata/sf0.01")) == sorted((tuple(r) for r in db.execute(treap_search.OP11_SQL).fetchall()), key=repr)
+
+
+def test_blocks_are_read_one_by_one(spark, monkeypatch):
+    """Each block of a task is a row group of its own, so that a reader holds one, however many a task has made."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(treap_search, "ROW_BYTES", 1000, raising=False)
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * i) % 997}" for i in range(1, 60))) for k in range(2000)], "doc_id long, text string").coalesce(1)
+    treaps = treap_search.index(docs, *treap_search.totals(docs), block_docs=10)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in treaps.inputFiles()]
+    assert sum(m.num_rows for m in files) >= 4
+    assert all(m.row_group(i).num_rows == 1 for m in files for i in range(m.num_row_groups))
